@@ -154,15 +154,18 @@ def infer_language(ext: str) -> str:
 def language_sql(path: str, dialect: str = tx.SPARK, custom: dict[str, str] | None = None, upper_cpp: bool = True) -> str:
     """The language of a path as an expression, '' if none: own names, own extensions, known names, known extensions, upper case C++."""
     name, ext = tx.basename(path, dialect), tx.extension(tx.basename(path, dialect), dialect)
-    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
     custom = custom or {}
-    whens = [f"WHEN {name} = '{k}' THEN '{v}'" for k, v in custom.items() if not k.startswith(".")]
-    whens += [f"WHEN {ext} = '{k}' THEN '{v}'" for k, v in custom.items() if k.startswith(".")]
-    whens += [f"WHEN {name} IN ({quoted(ns.split())}) THEN '{lang}'" for lang, ns in NAMES.items()]
-    whens += [f"WHEN {ext} IN ({quoted(es.split())}) THEN '{lang}'" for lang, es in EXTENSIONS.items()]
-    if upper_cpp:
-        whens.append(f"WHEN {ext} IN ({quoted(UPPER_CPP)}) THEN 'cpp'")
-    return f"CASE {' '.join(whens)} ELSE '' END"
+    known = BY_EXTENSION | (dict.fromkeys(UPPER_CPP, "cpp") if upper_cpp else {})
+    layers = [
+        (name, {k: v for k, v in custom.items() if not k.startswith(".")}), (ext, {k: v for k, v in custom.items() if k.startswith(".")}), (name, BY_NAME), (ext, known),
+    ]
+    found = []
+    for key, table in layers:
+        if table and dialect == tx.DUCK:
+            found.append("map {" + ", ".join(f"'{k}': '{x}'" for k, x in table.items()) + f"}}[{key}]")
+        elif table:
+            found.append("try_element_at(map(" + ", ".join(f"'{k}', '{x}'" for k, x in table.items()) + f"), {key})")
+    return f"coalesce({', '.join(found)}, '')"
 
 
 def scan_filter(files: DataFrame, rules: list[Rule] | None = None, include: list[Rule] | None = None, custom: dict[str, str] | None = None) -> DataFrame:
