@@ -87,7 +87,9 @@ def split_items(items: DataFrame, boundaries: DataFrame, limit: int, overlap: in
                 rows += [(item, i, a, b) for i, (a, b) in enumerate(best_ranges(int(lines), starts, tops, limit, overlap))]
             yield pd.DataFrame(rows, columns=["item_id", "piece", "start_line", "end_line"])
 
-    joined = match(big, marks, ["item_id"], "left")
+    # the arrays are small for what their items cost, so sizes would put them all into one task
+    spread = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = match(big, marks, ["item_id"], "left").repartition(spread, "item_id")
     kind = dict(items.dtypes)["item_id"]
     return joined.mapInPandas(cut, f"item_id {kind}, piece int, start_line int, end_line int")
 
