@@ -11,7 +11,7 @@ from mosaiq.functions import text as tx
 #: The forms of a citation.
 NAMED = r"^([A-Za-z0-9_./@+-]+\.[A-Za-z0-9]+)::([A-Za-z0-9_.$<>~]+(?:::[A-Za-z0-9_.$<>~]+)*)$"
 LINES = r"^([A-Za-z0-9_./@+-]+\.[A-Za-z0-9]+)::?L?([0-9]+)(?:-L?([0-9]+))?$"
-INLINE = r"`?[A-Za-z0-9_./@+-]+\.[A-Za-z0-9]+::[A-Za-z0-9_.$<>~]+(?:::[A-Za-z0-9_.$<>~]+)*`?"
+INLINE = r"`?[A-Za-z0-9_./@+-]+\.[A-Za-z0-9]+::(?:L?[0-9]+-L?[0-9]+|[A-Za-z0-9_.$<>~]+(?:::[A-Za-z0-9_.$<>~]+)*)`?"
 
 
 def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
