@@ -54,6 +54,11 @@ def split(text: str, pattern: str, dialect: str) -> str:
     return f"regexp_split_to_array({text}, {literal(pattern, dialect)})" if dialect == DUCK else f"split({text}, {literal(pattern)})"
 
 
+def lower(text: str, dialect: str) -> str:
+    """Lower case as Unicode has it; DuckDB alone would drop the dot of a capital dotted I."""
+    return f"lower(replace({text}, 'İ', 'i̇'))" if dialect == DUCK else f"lower({text})"
+
+
 def split_identifier(token: str, dialect: str = SPARK) -> str:
     """The parts of an identifier: camelCase, ACRONYMWord, then at blanks and ``_ - . / : $``."""
     apart = replace_all(replace_all(token, "([a-z0-9])([A-Z])", "$1 $2", dialect), "([A-Z]+)([A-Z][a-z])", "$1 $2", dialect)
@@ -73,9 +78,9 @@ def stem(word: str) -> str:
 def tokens(text: str, dialect: str = SPARK) -> str:
     """The index terms of a text: whole compound identifiers in lower case, then their stemmed parts without stop words."""
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    parts = each(split_identifier("raw", dialect), "p", "lower(p)", dialect)
+    parts = each(split_identifier("raw", dialect), "p", lower("p", dialect), dialect)
     stems = each(keep(parts, "w", f"length(w) > 1 AND w NOT IN ({stop})", dialect), "v", stem("v"), dialect)
-    whole = f"trim(lower(raw), '.')" if dialect == DUCK else "trim(BOTH '.' FROM lower(raw))"
+    whole = f"trim({lower('raw', DUCK)}, '.')" if dialect == DUCK else "trim(BOTH '.' FROM lower(raw))"
     size = "len" if dialect == DUCK else "size"
     empty = "CAST([] AS VARCHAR[])" if dialect == DUCK else "array()"
     one = f"[{whole}]" if dialect == DUCK else f"array({whole})"

@@ -11,6 +11,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,26 @@ from pyspark.sql.window import Window
 _LOCAL_DIRS: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a Spark context, so that their Python workers can import it wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_mosaiq_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="mosaiq-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/mosaiq_code.zip", "w") as z:
+        for where, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(where, n), os.path.relpath(os.path.join(where, n), os.path.dirname(root)))
+    context.addPyFile(f"{folder}/mosaiq_code.zip")
+    context._mosaiq_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
