@@ -173,13 +173,21 @@ def copied(question: str, answer: str) -> bool:
     return len(rest) <= max(6, 0.4 * len(a))
 
 
-FIRST_PERSON = re.compile(r"\b(?:i|i'm|i'd|i've|i'll|me|my|we|our|ich|mir|mich|je|j|m|moi|tengo|puedo|siento|dispongo|prefiero|yo)\b")
-INABILITY = re.compile(
-    r"\b(?:sorry|apolog\w*|regret\w*|unfortunately|unable|not able|cannot|can not|can't|could not|couldn't|won't|will not|would not|wouldn't|must not|not allowed|decline|refuse"
-    r"|rather not|not possible|impossible|beyond what|do not have|don't have|have no|had no|was not given|not given|instructed not|not discuss|no comment|outside (?:of )?my|must pass"
-    r"|would need to|nothing i could|not comfortable|no access"
-    r"|nicht|nichts|kein|keine|keinen|leid|leider|schuldig|désolée?|ne peux|ne puis|n'ai pas|n'est pas possible|m'abstenir|impossible|malheureusement|lo siento|no puedo|prefiero no|préfère ne pas|no tengo|no dispongo|desgracia)\b"
-)
+#: By language, words of the first person and words of inability; a sentence with both refuses.
+DECLINING = [
+    (re.compile(rf"\b(?:{first})\b"), re.compile(rf"\b(?:{unable})\b"))
+    for first, unable in (
+        (
+            r"i|i'm|i'd|i've|i'll|me|my|we|our",
+            r"sorry|apolog\w*|regret\w*|unfortunately|unable|not able|cannot|can not|can't|could not|couldn't|won't|will not|would not|wouldn't|must not|not allowed|decline|refuse|rather not"
+            r"|not possible|impossible|beyond what|do not have|don't have|have no|had no|was not given|not given|instructed not|not discuss|no comment|outside (?:of )?my|must pass|would need to"
+            r"|nothing i could|not comfortable|no access|lack",
+        ),
+        (r"ich|mir|mich", r"nicht|nichts|kein|keine|keinen|leid|leider|schuldig"),
+        (r"je|j|m|moi", r"désolée?|ne peux|ne puis|n'ai pas|n'est pas possible|m'abstenir|abstenir|impossible|malheureusement|préfère ne pas"),
+        (r"lo siento|no puedo|no tengo|no dispongo|prefiero|me|yo", r"lo siento|no puedo|no tengo|no dispongo|prefiero no|imposible|desgracia|lamento"),
+    )
+]
 #: Impersonal refusals.
 IMPERSONAL = re.compile(
     r"(?:this|the|your|that) (?:request|question) (?:can't|cannot|can not|could not|will not) be (?:completed|answered|fulfilled|processed)|no answer is possible|answering (?:this|that) (?:is not|isn't|would go)"
@@ -205,7 +213,7 @@ def refused(answer: str) -> bool:
         bare = re.sub(r"`[^`]*`|\S*/\S*", " ", s)
         if not WORD.search(s):
             continue
-        if IMPERSONAL.search(bare) or (FIRST_PERSON.search(bare) and INABILITY.search(bare)) or re.match(r"(?:it is not possible|sorry, answering|regrettably)", bare):
+        if IMPERSONAL.search(bare) or any(first.search(bare) and unable.search(bare) for first, unable in DECLINING) or re.match(r"(?:it is not possible|sorry, answering|regrettably)", bare):
             refusals += 1
         elif not FILLER.match(s):
             return False
