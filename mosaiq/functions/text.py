@@ -62,7 +62,8 @@ def lower(text: str, dialect: str) -> str:
 def split_identifier(token: str, dialect: str = SPARK) -> str:
     """The parts of an identifier: camelCase, ACRONYMWord, then at blanks and ``_ - . / : $``."""
     apart = replace_all(replace_all(token, "([a-z0-9])([A-Z])", "$1 $2", dialect), "([A-Z]+)([A-Z][a-z])", "$1 $2", dialect)
-    return keep(split(apart, r"[\s_\-./:$]+", dialect), "part", "part <> ''", dialect)
+    parts = split(apart, r"[\s_\-./:$]+", dialect)
+    return keep(parts, "part", "part <> ''", dialect) if dialect == DUCK else f"array_remove({parts}, '')"
 
 
 def stem(word: str) -> str:

@@ -35,13 +35,28 @@ def units(files: DataFrame, symbols: DataFrame, qa: DataFrame) -> DataFrame:
     return q.unionByName(m).unionByName(f).unionByName(s)
 
 
+def terms(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with a column ``term`` in place of ``text``: one row for each index term of the text, as :func:`mosaiq.functions.text.tokens` gives them.
+
+    Words are rows before they are taken apart, so all of it is compiled code without lambdas over arrays.
+    """
+    rest = [c for c in rows.columns if c != text]
+    raw = rows.select(*rest, F.explode(F.expr(tx.matches(text, tx.WORD, tx.SPARK))).alias("_raw"))
+    parts = raw.withColumn("_parts", F.expr(tx.split_identifier("_raw")))
+    both = "CASE WHEN size(_parts) > 1 THEN concat(array(trim(BOTH '.' FROM lower(_raw))), _parts) ELSE _parts END"
+    each = parts.select(*rest, F.expr("size(_parts) > 1").alias("_compound"), F.posexplode(F.expr(both)).alias("_pos", "_part"))
+    each = each.select(*rest, F.expr("_compound AND _pos = 0").alias("_whole"), F.lower("_part").alias("_part"))
+    each = each.where(F.col("_whole") | ((F.length("_part") > 1) & ~F.col("_part").isin(tx.STOP_WORDS)))
+    return each.select(*rest, F.when(F.col("_whole"), F.col("_part")).otherwise(F.expr(tx.stem("_part"))).alias("term"))
+
+
 def postings(units: DataFrame) -> DataFrame:
     """(uid, utype, term, tenths, len): the weighted frequency of each term in each unit, and the unit's whole length.
 
     Units without a term have no row: they don't count as units.
     """
-    terms = F.expr(f"transform(filter(fields, f -> f.text <> ''), f -> transform({tx.tokens('f.text')}, t -> struct(t AS term, f.tenths AS tenths)))")
-    rows = units.select("uid", "utype", F.explode(F.flatten(terms)).alias("p")).select("uid", "utype", "p.term", "p.tenths")
+    rows = units.select("uid", "utype", F.explode("fields").alias("f")).where("f.text <> ''")
+    rows = terms(rows.select("uid", "utype", F.col("f.tenths").alias("tenths"), F.col("f.text").alias("text")), "text")
     counted = rows.repartition("uid").groupBy("uid", "utype", "term").agg(F.sum("tenths").alias("tenths"))
     whole = F.floor(F.sum("tenths").over(Window.partitionBy("uid")) / 10).cast("bigint")
     return counted.withColumn("len", whole)
@@ -61,11 +76,13 @@ def search(postings: DataFrame, questions: DataFrame, k: int, types: list[str] |
     """
     lengths = postings.groupBy("uid").agg(F.max("len").alias("len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    terms = questions.select("qid", F.explode(F.array_distinct(F.expr(tx.tokens("text")))).alias("term"))
-    known = terms.join(term_frequencies(postings), "term").crossJoin(F.broadcast(stats))  # one row
+    asked = questions.select("qid", F.explode(F.array_distinct(F.expr(tx.tokens("text")))).alias("term"))
+    # only the postings of asked terms are counted and joined
+    asked_for = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    known = asked.join(term_frequencies(asked_for), "term").crossJoin(F.broadcast(stats))  # one row
     known = known.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     known = known.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("qid")))
-    found = postings if types is None else postings.where(F.col("utype").isin(types))
+    found = asked_for if types is None else asked_for.where(F.col("utype").isin(types))
     tf = F.col("tenths") / 10
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     hits = found.join(known, "term").groupBy("qid", "uid", "utype").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("hit"), F.max("known").alias("known"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import text as tx
-from mosaiq.operators import extract, incremental, links, modules, rules
+from mosaiq.operators import extract, incremental, links, modules, rules, search
 from mosaiq.plans import views as v
 from mosaiq.runtime import table
 
@@ -68,7 +68,7 @@ def token_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    terms = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.expr(tx.tokens("text")))).alias("term"))
+    terms = search.terms(table(spark, d, "documents").select("doc_id", "text"), "text").distinct()
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
