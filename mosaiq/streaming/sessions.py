@@ -52,26 +52,33 @@ def grep_names(patterns: DataFrame) -> DataFrame:
     return patterns.select("event_id", F.posexplode(F.expr(f"slice({names}, 1, 3)")).alias("pos", "name"))
 
 
-def stream_first_sent(events: DataFrame, idle_ms: int = 7_200_000) -> DataFrame:
-    """:func:`first_sent` over a stream of (session, unit, ts, event_id): state holds the units each session has received; it is dropped after ``idle_ms`` without events."""
+def stream_first_sent(events: DataFrame, idle_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
+    """:func:`first_sent` over a stream of (session, unit, ts, event_id): state holds the units each session has received.
+
+    It is dropped once event time has passed the session's last event by ``idle_ms``; events later than ``delay`` behind the newest may be judged without it.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = set(state.get[0]) if state.exists else set()
+        units, last = state.get if state.exists else ([], 0)
+        seen = set(units)
         fresh = []
         for pdf in frames:
             for row in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
+                if row.ts is not pd.NaT:
+                    last = max(last, int(row.ts.timestamp() * 1000))
                 if row.unit is not None and row.unit not in seen:
                     seen.add(row.unit)
                     fresh.append((key[0], row.unit, row.ts, row.event_id))
-        state.update((sorted(seen),))
-        state.setTimeoutDuration(idle_ms)
+        state.update((sorted(seen), last))
+        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(fresh, columns=["session", "unit", "ts", "event_id"])
 
     out = "session string, unit string, ts timestamp, event_id bigint"
-    return events.groupBy("session").applyInPandasWithState(step, out, "seen array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    held = "seen array<string>, last bigint"
+    return events.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gap_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
