@@ -185,6 +185,15 @@ SQL = {
     "qualified_names": v.with_(v.S_SQL) + f"SELECT file_id, i, {tx.tail('name', D)} AS tail, {tx.last_part('name', D)} AS last, CAST(len({tx.name_parts('name', D)}) AS BIGINT) AS parts, {tx.span('start_line', 'end_line')} AS span FROM symbols_one WHERE name IS NOT NULL",
     "module_fold": v.with_(v.F_SQL, modules.assign_modules_sql()) + "SELECT repo, folder, module FROM assigned",
     "batch_pack_jobs": v.with_(v.F_SQL, modules.BATCHES_SQL) + "SELECT repo, file_id, batch FROM bins",
+    "chunk_cuts": v.with_(v.F_SQL, v.S_SQL, f"""long AS (SELECT file_id, lines FROM files_now WHERE lines > {modules.CHUNK_LINES} AND NOT (NOT coalesce(is_code, false) AND lines > {modules.DATA_LINES} AND coalesce(lang, '') NOT IN ('markdown', 'rst', 'text', 'asciidoc'))
+  AND NOT (coalesce(is_test, false) AND coalesce(lang, '') NOT IN ('python', 'javascript', 'typescript', 'go', 'rust', 'java', 'kotlin', 'scala', 'swift', 'ruby', 'php', 'c', 'cpp', 'csharp', 'dart', 'elixir', 'lua', 'vue', 'svelte'))),
+tops AS (SELECT file_id, list(DISTINCT start_line) AS starts FROM symbols_one WHERE NOT contains(coalesce(name, '.'), '.') AND start_line IS NOT NULL GROUP BY file_id),
+both_ AS (SELECT l.file_id, l.lines, coalesce(t.starts, []) AS starts FROM long l LEFT JOIN tops t USING (file_id)),
+cuts AS (
+  SELECT file_id, lines, starts, 0 AS part, 1 AS a, CASE WHEN {modules.CHUNK_LINES} < lines THEN coalesce(list_max(list_filter(starts, lambda x: x > 1 + {modules.CHUNK_LINES // 2} AND x <= {modules.CHUNK_LINES})) - 1, {modules.CHUNK_LINES}) ELSE lines END AS b FROM both_
+  UNION ALL
+  SELECT file_id, lines, starts, part + 1, b + 1, CASE WHEN b + {modules.CHUNK_LINES} < lines THEN coalesce(list_max(list_filter(starts, lambda x: x > b + 1 + {modules.CHUNK_LINES // 2} AND x <= b + {modules.CHUNK_LINES})) - 1, b + {modules.CHUNK_LINES}) ELSE lines END
+  FROM cuts WHERE b < lines)""") + "SELECT file_id, part, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM cuts",
     "alias_batches": v.with_(v.S_SQL) + f"SELECT file_id, i, CAST((row_number() OVER (ORDER BY file_id, i) - 1) // {modules.ALIAS_BATCH} AS BIGINT) AS batch FROM symbols_one WHERE name IS NOT NULL",
     "module_budget": v.with_(v.F_SQL) + """SELECT repo, module, file_id, sum(coalesce(bytes, 0)) OVER (PARTITION BY repo, module ORDER BY coalesce(is_test, false), path, file_id ROWS UNBOUNDED PRECEDING) < 150000 AS full
   FROM files_now WHERE module IS NOT NULL AND path IS NOT NULL""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import text as tx
 from mosaiq.operators import evaluate as ev
+from mosaiq.operators import search
 from mosaiq.plans import views as v
 from mosaiq.runtime import table
 
@@ -85,6 +86,10 @@ _NAMES = """names AS (SELECT DISTINCT string_split(name, '.')[-1] AS name FROM s
 cores AS (SELECT name, regexp_replace(name, '^_+|_+$', '', 'g') AS core FROM names),
 special AS (SELECT name FROM cores WHERE NOT starts_with(name, '__') AND length(core) >= 4
   AND (len(list_filter(string_split(regexp_replace(core, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '_'), lambda p: p <> '')) >= 2 OR regexp_matches(core, '^[A-Z]') OR length(core) >= 7))"""
+_RECALL = v.with_(v.F_SQL, v.S_SQL, v.Q_SQL, search.UNITS_SQL, search.POSTINGS_SQL, v.QUESTIONS_SQL, search.search_sql(30)) + """, wanted AS (SELECT DISTINCT q.key, f.file_id AS item FROM (
+    SELECT qa_id AS key, repo, unnest(regexp_extract_all(coalesce(a, ''), '[A-Za-z0-9_./-]+\\.[A-Za-z0-9]+')) AS path FROM qa_now WHERE repo IS NOT NULL AND qa_id % 100 = 0) q JOIN files_now f ON f.repo = q.repo AND f.path = q.path),
+got AS (SELECT DISTINCT qid AS key, CASE utype WHEN 'file' THEN CAST(substr(uid, 6) AS BIGINT) WHEN 'sym' THEN CAST(split_part(uid, ':', 2) AS BIGINT) END AS item FROM hits WHERE utype IN ('file', 'sym'))
+SELECT w.key, count(*) AS wanted, count(g.item) AS found, round(count(g.item) / count(*), 6) AS recall FROM wanted w LEFT JOIN got g ON g.key = w.key AND g.item = w.item GROUP BY w.key"""
 SQL = {
     "paired_arm_report": v.with_(_GRADED, _PAIRED) + "SELECT * FROM report",
     "win_tie_loss": v.with_(_GRADED, _PAIRED) + "SELECT arm, CAST(sum(questions) AS BIGINT) AS questions, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(ties) AS BIGINT) AS ties, CAST(sum(losses) AS BIGINT) AS losses FROM report GROUP BY arm",
@@ -97,5 +102,6 @@ SQL = {
     "mentioned_names": v.with_(v.S_SQL, v.Q_SQL) + """SELECT DISTINCT q.qa_id AS key, q.part FROM (SELECT qa_id, repo, unnest(regexp_extract_all(span, '[A-Za-z_][A-Za-z0-9_]{3,}')) AS part FROM (
     SELECT qa_id, repo, unnest(regexp_extract_all(coalesce(a, ''), '`([^`]+)`', 1)) AS span FROM qa_now WHERE repo IS NOT NULL)) q
   JOIN (SELECT DISTINCT repo, part FROM (SELECT repo, unnest(string_split(name, '.')) AS part FROM symbols_one WHERE kind <> 'section' OR kind IS NULL) WHERE length(part) > 3) k ON k.repo = q.repo AND k.part = q.part""",
+    "retrieval_recall": _RECALL,
     "distinctive_names": v.with_(v.S_SQL, _NAMES) + "SELECT name FROM special",
 }

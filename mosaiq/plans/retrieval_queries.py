@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import text as tx
 from mosaiq.operators import enrich, imports, links, packs, search, verify
+from mosaiq.plans import graph_queries as graph
 from mosaiq.plans import views as v
 from mosaiq.runtime import materialise, table
 
@@ -196,6 +197,25 @@ cited_lines AS (SELECT repo, ref, regexp_extract(r, '{verify.LINES}', 1) AS path
 found AS (SELECT * FROM picked UNION ALL SELECT a.repo, a.ref, concat(a.path, ':L', a.a, '-', least(greatest(a.a, coalesce(a.b, a.a)), s.n)) FROM cited_lines a JOIN sizes s ON s.repo = a.repo AND s.path = a.path WHERE a.a BETWEEN 1 AND s.n
   UNION ALL SELECT b.repo, b.ref, b.r FROM bare b JOIN sizes s ON s.repo = b.repo AND s.path = b.r),
 resolved AS (SELECT r.qa_id, r.pos, r.ref, f.resolved FROM refs r LEFT JOIN found f ON f.repo = r.repo AND f.ref = r.ref)"""
+_SCORED = f"""tops AS (SELECT qid, max(score) AS top FROM hits GROUP BY qid),
+ff AS (SELECT qid, {_FILE_ID} AS file_id, max(score) AS fs FROM hits WHERE utype = 'file' GROUP BY ALL),
+direct AS (SELECT h.qid, h.file_id, h.i, h.score + 0.25::DOUBLE * coalesce(ff.fs, 0) AS s FROM (SELECT qid, {_SYM_FILE} AS file_id, {_SYM_I} AS i, score FROM hits WHERE utype = 'sym') h LEFT JOIN ff ON ff.qid = h.qid AND ff.file_id = h.file_id),
+cites AS (SELECT h.qid, q.repo, h.score, unnest(q.refs[:4]) AS ref FROM hits h JOIN tops t ON t.qid = h.qid AND h.score >= 0.5::DOUBLE * t.top JOIN qa_now q ON h.utype = 'qa' AND q.qa_id = TRY_CAST(substr(h.uid, 4) AS BIGINT)),
+spans AS (SELECT repo, path, start_line, end_line, max({{'f': file_id, 'i': i}}) AS s FROM symbols_one GROUP BY ALL),
+cited AS (SELECT c.qid, s.s.f AS file_id, s.s.i AS i, 0.6::DOUBLE * c.score AS s FROM cites c JOIN spans s ON regexp_matches(c.ref, '{tx.SPAN}') AND s.repo = c.repo AND s.path = regexp_extract(c.ref, '{tx.SPAN}', 1)
+    AND s.start_line = TRY_CAST(regexp_extract(c.ref, '{tx.SPAN}', 2) AS INT) AND s.end_line = TRY_CAST(regexp_extract(c.ref, '{tx.SPAN}', 3) AS INT)),
+scored_symbols AS (SELECT t.qid, t.file_id, t.i, t.score, s.kind, s.start_line AS a, s.end_line AS b FROM (SELECT qid, file_id, i, round(sum(s), 6) AS score FROM (SELECT * FROM direct UNION ALL SELECT * FROM cited) GROUP BY ALL) t JOIN symbols_one s USING (file_id, i) WHERE s.kind <> 'section' OR s.kind IS NULL)"""
+_SEEDS = f"""ordered AS (SELECT qid, file_id, i, score, kind, a, b, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_id, i) AS rn FROM scored_symbols
+  QUALIFY score >= {packs.SEED_CUT}::DOUBLE * max(score) OVER (PARTITION BY qid)),
+walk AS (
+  SELECT qid, rn, [{{'f': file_id, 'i': i, 's': score, 'a': a, 'b': b}}] AS acc FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.qid, o.rn, CASE WHEN len(w.acc) >= 4 OR (coalesce(o.kind, '') IN ('variable', 'attribute', 'constant') AND o.b - o.a < 2)
+      OR len(list_filter(w.acc, lambda k: k.f = o.file_id AND ((k.a <= o.a AND o.b <= k.b) OR (o.a <= k.a AND k.b <= o.b)))) > 0
+    THEN w.acc ELSE list_append(w.acc, {{'f': o.file_id, 'i': o.i, 's': o.score, 'a': o.a, 'b': o.b}}) END
+  FROM walk w JOIN ordered o ON o.qid = w.qid AND o.rn = w.rn + 1),
+seeds AS (SELECT qid, CAST(k - 1 AS INT) AS rank, x.f AS file_id, x.i AS i, x.s AS score FROM (
+  SELECT qid, unnest(acc) AS x, generate_subscripts(acc, 1) AS k FROM (SELECT qid, acc FROM walk QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rn DESC) = 1)))"""
 SQL = {
     "index_units": v.with_(*_BASE) + "SELECT utype, count(*) AS units, CAST(sum(len) AS BIGINT) AS len, CAST(sum(terms) AS BIGINT) AS postings FROM (SELECT utype, uid, max(len) AS len, count(*) AS terms FROM postings GROUP BY ALL) GROUP BY utype",
     "index_term_frequency": v.with_(*_BASE) + "SELECT term, df FROM df",
@@ -207,14 +227,47 @@ SQL = {
   UNION ALL SELECT c.qid, f.file_id, 0.3::DOUBLE * c.score FROM (
     SELECT h.qid, h.score, q.repo, split_part(unnest(q.refs[:3]), ':', 1) AS path FROM hits h JOIN qa_now q ON h.utype = 'qa' AND q.qa_id = TRY_CAST(substr(h.uid, 4) AS BIGINT)) c
     JOIN files_now f ON f.repo = c.repo AND f.path = c.path) GROUP BY ALL""",
-    "symbol_score_blend": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(100)) + f""", tops AS (SELECT qid, max(score) AS top FROM hits GROUP BY qid),
-ff AS (SELECT qid, {_FILE_ID} AS file_id, max(score) AS fs FROM hits WHERE utype = 'file' GROUP BY ALL),
-direct AS (SELECT h.qid, h.file_id, h.i, h.score + 0.25::DOUBLE * coalesce(ff.fs, 0) AS s FROM (SELECT qid, {_SYM_FILE} AS file_id, {_SYM_I} AS i, score FROM hits WHERE utype = 'sym') h LEFT JOIN ff ON ff.qid = h.qid AND ff.file_id = h.file_id),
-cites AS (SELECT h.qid, q.repo, h.score, unnest(q.refs[:4]) AS ref FROM hits h JOIN tops t ON t.qid = h.qid AND h.score >= 0.5::DOUBLE * t.top JOIN qa_now q ON h.utype = 'qa' AND q.qa_id = TRY_CAST(substr(h.uid, 4) AS BIGINT)),
-spans AS (SELECT repo, path, start_line, end_line, max({{'f': file_id, 'i': i}}) AS s FROM symbols_one GROUP BY ALL),
-cited AS (SELECT c.qid, s.s.f AS file_id, s.s.i AS i, 0.6::DOUBLE * c.score AS s FROM cites c JOIN spans s ON regexp_matches(c.ref, '{tx.SPAN}') AND s.repo = c.repo AND s.path = regexp_extract(c.ref, '{tx.SPAN}', 1)
-    AND s.start_line = TRY_CAST(regexp_extract(c.ref, '{tx.SPAN}', 2) AS INT) AND s.end_line = TRY_CAST(regexp_extract(c.ref, '{tx.SPAN}', 3) AS INT))
-SELECT t.qid, t.file_id, t.i, t.score FROM (SELECT qid, file_id, i, round(sum(s), 6) AS score FROM (SELECT * FROM direct UNION ALL SELECT * FROM cited) GROUP BY ALL) t JOIN symbols_one s USING (file_id, i) WHERE s.kind <> 'section' OR s.kind IS NULL""",
+    "symbol_score_blend": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(100), _SCORED) + "SELECT qid, file_id, i, score FROM scored_symbols",
+    "seed_nms": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(100), _SCORED, _SEEDS) + "SELECT qid, rank, file_id, i, score FROM seeds",
+    "link_score_expand": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(100), _SCORED, _SEEDS, *graph.EDGES_SQL[1:], *graph.LINKS_SQL[1:], f"""
+raw_links AS (SELECT s.qid, l.dst_file AS file_id, l.dst_i AS i, s.score / (1 + s.rank) AS w, true AS uses FROM seeds s JOIN links l ON l.src_file = s.file_id AND l.src_i = s.i
+  UNION ALL SELECT s.qid, l.src_file, l.src_i, s.score / (1 + s.rank), false FROM seeds s JOIN links l ON l.dst_file = s.file_id AND l.dst_i = s.i),
+asked AS (SELECT qid, list_distinct({tx.tokens('text', D)}) AS q FROM questions),
+weighed AS (SELECT r.qid, r.file_id, r.i, round(sum(CASE WHEN uses THEN w * (0.5::DOUBLE + {tx.overlap('q', tx.tokens('s.name', D), D)}) ELSE w * (0.3::DOUBLE + {tx.overlap('q', tx.tokens('s.name', D), D)})
+    * CASE WHEN contains({tx.basename('s.path', D)}, 'test') AND list_contains(q, 'test') THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END END), 6) AS score, max(s.start_line) AS a, max(s.end_line) AS b
+  FROM raw_links r JOIN symbols_one s ON s.file_id = r.file_id AND s.i = r.i JOIN asked USING (qid) GROUP BY ALL),
+free AS (SELECT * FROM weighed w WHERE NOT EXISTS (SELECT 1 FROM seeds e JOIN symbols_one x ON x.file_id = e.file_id AND x.i = e.i WHERE e.qid = w.qid AND e.file_id = w.file_id
+    AND ((x.start_line <= w.a AND w.b <= x.end_line) OR (w.a <= x.start_line AND x.end_line <= w.b))))""") + "SELECT qid, file_id, i, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_id, i) AS rank FROM free QUALIFY rank <= 12",
+    "pointer_pack": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(80), f"""tops AS (SELECT qid, max(score) AS top FROM hits GROUP BY qid),
+boost AS (SELECT qid, {_FILE_ID} AS file_id, max(score) AS boost FROM hits WHERE utype = 'file' GROUP BY ALL),
+sym AS (SELECT qid, {_SYM_FILE} AS file_id, {_SYM_I} AS i, score FROM hits WHERE utype = 'sym'),
+ptr AS (SELECT y.qid, y.file_id, s.start_line AS a, s.end_line AS b, max(round(y.score + 0.3::DOUBLE * coalesce(o.boost, 0), 6)) AS s FROM sym y
+    JOIN symbols_one s ON s.file_id = y.file_id AND s.i = y.i AND s.kind <> 'section' AND NOT (s.kind = 'class' AND s.end_line - s.start_line > 150) LEFT JOIN boost o ON o.qid = y.qid AND o.file_id = y.file_id GROUP BY ALL),
+ranked_ptr AS (SELECT p.*, row_number() OVER (PARTITION BY p.qid ORDER BY s DESC, file_id, a, b) AS ord FROM ptr p JOIN tops t USING (qid) WHERE s >= 0.3::DOUBLE * top),
+walk AS (
+  SELECT qid, ord, [{{'ord': ord, 'f': file_id, 'a': a, 'b': b, 's': s}}] AS acc FROM ranked_ptr WHERE ord = 1
+  UNION ALL
+  SELECT p.qid, p.ord, CASE WHEN len(w.acc) >= 10 OR len(list_filter(w.acc, lambda k: k.f = p.file_id AND k.a <= p.a AND p.b <= k.b)) > 0 THEN w.acc ELSE list_append(w.acc, {{'ord': p.ord, 'f': p.file_id, 'a': p.a, 'b': p.b, 's': p.s}}) END
+  FROM walk w JOIN ranked_ptr p ON p.qid = w.qid AND p.ord = w.ord + 1),
+final AS (SELECT qid, unnest(acc) AS x FROM (SELECT qid, acc FROM walk QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ord DESC) = 1))""") + "SELECT qid, x.ord AS ord, x.f AS file_id, x.a AS a, x.b AS b, x.s AS score FROM final",
+    "candidates": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(120), f"""owned AS (SELECT qid, rank, CASE utype WHEN 'file' THEN {_FILE_ID} WHEN 'sym' THEN {_SYM_FILE} END AS file_id FROM hits WHERE utype IN ('file', 'sym')),
+best AS (SELECT qid, file_id, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS n FROM owned GROUP BY qid, file_id QUALIFY n <= 8),
+pool AS (SELECT qid, uid AS cid, rank AS pos FROM hits WHERE rank <= 45
+  UNION ALL SELECT b.qid, concat('sym:', s.file_id, ':', s.i), 1000 + b.n * 100000 + s.i FROM best b JOIN symbols_one s USING (file_id) WHERE s.kind <> 'section' OR s.kind IS NULL)""")
+  + "SELECT qid, cid, n AS pos FROM (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY min(pos), cid) AS n FROM pool GROUP BY qid, cid) WHERE n <= 70",
+    "full_pack": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(60), f"""tops AS (SELECT qid, max(score) AS top FROM hits GROUP BY qid),
+answers AS (SELECT h.qid, h.rank AS ord, h.uid AS key, concat('Q: ', coalesce(q.q, ''), chr(10), 'A: ', coalesce(q.a, '')) AS text FROM (
+    SELECT h.* FROM hits h JOIN tops t ON t.qid = h.qid AND h.utype = 'qa' AND h.score >= 0.45::DOUBLE * t.top QUALIFY row_number() OVER (PARTITION BY h.qid ORDER BY h.rank) <= 4) h JOIN qa_now q ON q.qa_id = TRY_CAST(substr(h.uid, 4) AS BIGINT)),
+blend AS (SELECT qid, file_id, round(sum(s), 6) AS score FROM (
+  SELECT qid, {_FILE_ID} AS file_id, score AS s FROM hits WHERE utype = 'file' UNION ALL SELECT qid, {_SYM_FILE}, 0.5::DOUBLE * score FROM hits WHERE utype = 'sym'
+  UNION ALL SELECT c.qid, f.file_id, 0.3::DOUBLE * c.score FROM (SELECT h.qid, h.score, q.repo, split_part(unnest(q.refs[:3]), ':', 1) AS path FROM hits h JOIN qa_now q ON h.utype = 'qa' AND q.qa_id = TRY_CAST(substr(h.uid, 4) AS BIGINT)) c
+    JOIN files_now f ON f.repo = c.repo AND f.path = c.path) GROUP BY ALL),
+cards AS (SELECT b.qid, 1000 + b.n AS ord, concat('file:', b.file_id) AS key, concat('FILE ', coalesce(f.path, ''), ' (', f.lines, ' lines)') AS text FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_id) AS n FROM blend QUALIFY n <= 6) b JOIN files_now f USING (file_id)),
+items AS (SELECT qid, ord, key, CAST({tx.estimated_tokens('text', D)} AS BIGINT) AS tokens FROM (SELECT * FROM answers UNION ALL SELECT * FROM cards))""", packs.greedy_sql("items", 2000)) + "SELECT qid, ord, key, tokens FROM taken",
+    "json_salvage": """SELECT doc_id, CAST(length(j) AS INT) AS length FROM (SELECT doc_id, nullif(regexp_replace(regexp_extract(regexp_replace(text, '```[a-z]*', '', 'g'), '(?s)([\\[{].*[\\]}])', 1), ',\\s*([\\]}])', '\\1', 'g'), '') AS j FROM documents) WHERE j IS NOT NULL""",
+    "enrichment_jobs": v.with_(v.F_SQL) + """SELECT key, prompt, concat('stub ', substr(sha256(prompt), 1, 12)) AS answer FROM (
+  SELECT concat_ws('/', repo, module) AS key, concat('Describe ', module, ' with ', sum(lines), ' lines') AS prompt FROM files_now WHERE module IS NOT NULL GROUP BY repo, module)""",
     "greedy_pack": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(40, ["sym"]), f"""items AS (SELECT h.qid, h.rank AS ord, h.uid AS key, CAST({tx.estimated_tokens('concat(s.name, s.path)', D)} AS BIGINT) AS tokens
   FROM hits h JOIN symbols_one s ON h.uid = concat('sym:', s.file_id, ':', s.i))""", packs.greedy_sql("items", 60)) + "SELECT qid, ord, key, tokens FROM taken",
     "judge_select": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(30)) + """SELECT qid, id, p FROM (SELECT qid, uid AS id, round(score / (SELECT max(score) FROM hits), 6) AS p FROM hits) QUALIFY p >= 0.5::DOUBLE * max(p) OVER (PARTITION BY qid)""",
