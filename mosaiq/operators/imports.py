@@ -94,18 +94,25 @@ def import_edges(files: DataFrame) -> DataFrame:
     edges = edges.unionByName(go.join(go_dirs, ["repo", "dir"]).select(*out))
 
     # C: the exact path, else the nearest file of that name whose path ends with the include
-    c = imps.where(F.col("lang").isin(*C)).withColumn("key", _joined(F.col("d"), F.col("imp"))).withColumn("base", F.expr(tx.basename("imp")))
+    c = imps.where(F.col("lang").isin(*C)).withColumn("key", _joined(F.col("d"), F.col("imp")))
     exact = c.join(nodes.select("repo", F.col("to").alias("key"), "dst"), ["repo", "key"])
     edges = edges.unionByName(exact.select(*out))
     rest = c.join(nodes.select("repo", F.col("to").alias("key")).distinct(), ["repo", "key"], "left_anti")
-    rest = rest.join(nodes.select("repo", "base", "dst", "to"), ["repo", "base"]).where("`to` = imp OR endswith(`to`, concat('/', imp))")
-    common = F.expr("size(filter(transform(sequence(1, least(size(split(`to`, '/')), size(split(`from`, '/')))), k -> slice(split(`to`, '/'), 1, k) = slice(split(`from`, '/'), 1, k)), x -> x))")
-    edges = edges.unionByName(_first(rest, [common.desc(), F.length("to").asc(), F.asc("to")]).select(*out))
+    # the nearest is the shortest path below the deepest folder that both share: folders are keys, so a frequent name meets no pairs
+    wanted = rest.select("repo", "imp").distinct()
+    ends = nodes.select("repo", "dst", "to", F.expr("explode(transform(sequence(1, size(split(`to`, '/'))), k -> array_join(slice(split(`to`, '/'), k, 1000), '/')))").alias("imp"))
+    below = F.expr("explode(transform(sequence(0, size(split({0}, '/')) - 1), k -> struct(k AS depth, array_join(slice(split({0}, '/'), 1, k), '/') AS folder)))".format("`to`"))
+    best = ends.join(wanted, ["repo", "imp"]).select("repo", "imp", "dst", "to", below.alias("a"))
+    best = best.groupBy("repo", "imp", "a.folder").agg(F.min(F.struct(F.length("to"), "to", "dst")).alias("best"))
+    above = F.expr("explode(transform(sequence(0, size(split({0}, '/')) - 1), k -> struct(k AS depth, array_join(slice(split({0}, '/'), 1, k), '/') AS folder)))".format("`from`"))
+    asked = rest.select("repo", "src", "imp", above.alias("a")).select("repo", "src", "imp", "a.depth", "a.folder")
+    edges = edges.unionByName(_first(asked.join(best, ["repo", "imp", "folder"]), [F.desc("depth")]).select("src", F.col("best.dst").alias("dst")))
 
     # Java and its kin: the first file of that name whose path ends with the import
     jvm = imps.where(F.col("lang").isin(*JVM)).withColumn("tail", F.expr("replace(imp, '.', '/')")).withColumn("name", F.expr(tx.basename("tail")))
-    jvm = jvm.join(nodes.select("repo", "name", "dst", "to", "stem"), ["repo", "name"]).where("endswith(stem, tail)")
-    edges = edges.unionByName(_first(jvm, [F.asc("to")]).select(*out))
+    named = jvm.select("repo", "tail", "name").distinct().join(nodes.select("repo", "name", "dst", "to", "stem"), ["repo", "name"]).where("endswith(stem, tail)")
+    named = named.groupBy("repo", "tail").agg(F.min(F.struct("to", "dst")).alias("best"))
+    edges = edges.unionByName(jvm.join(named, ["repo", "tail"]).select("src", F.col("best.dst").alias("dst")))
 
     # Ruby: relative, else below lib
     ruby = imps.where("lang = 'ruby'").withColumn("key", _joined(F.col("d"), F.col("imp")))

@@ -149,6 +149,34 @@ def test_import_resolution_by_language(spark):
     }
 
 
+def test_import_resolution_agrees_with_plain_sql(spark):
+    import random
+
+    import duckdb
+
+    from mosaiq.plans.graph_queries import SQL
+
+    random.seed(5)
+    folders, names = ["", "a", "a/b", "a/b/c", "src", "src/x", "lib", "com/acme"], ["m", "util", "index", "__init__", "Tool", "lib", "mod"]
+    langs = {"python": ".py", "typescript": ".ts", "go": ".go", "cpp": ".h", "rust": ".rs", "java": ".java", "ruby": ".rb"}
+    rows = []
+    for i in range(260):
+        lang = random.choice(list(langs))
+        path = "/".join(x for x in (random.choice(folders), random.choice(names) + langs[lang]) if x)
+        imps = {
+            "python": [".m", "..util", "a.b.m.x", "b.Tool", "."], "typescript": ["./m", "../util.js", "@/x/m", "./b/../m", "src/x/Tool"], "go": ["example.com/a/b", "x/src"],
+            "cpp": ["m.h", "b/util.h", "../Tool.h", "x/mod.h"], "rust": ["crate::a::b::m", "util", "crate::x::Tool::f"], "java": ["com.acme.Tool", "b.util"], "ruby": ["m", "../util", "b/Tool"],
+        }[lang]
+        rows.append((path, lang, random.sample(imps, 2)))
+    rows = list({p: (p, lang, i) for p, lang, i in rows}.values())
+    got = {(e.src, e.dst) for e in imports.import_edges(files_of(spark, rows)).collect()}
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE files (file_id BIGINT, repo VARCHAR, path VARCHAR, lang VARCHAR, imports VARCHAR[], lines INT, bytes BIGINT, sha VARCHAR, is_code BOOLEAN, is_test BOOLEAN, module VARCHAR,
+        mtime BIGINT, head VARCHAR, scanned_at TIMESTAMP, loaded_at TIMESTAMP)""")
+    con.executemany("INSERT INTO files (file_id, repo, path, lang, imports, lines) VALUES (?, 'r', ?, ?, ?, 1)", [(i, p, lang, imps) for i, (p, lang, imps) in enumerate(rows)])
+    assert len(got) > 60 and got == set(con.execute(SQL["import_edges"]).fetchall())
+
+
 def tables(spark):
     symbols = spark.createDataFrame(
         [(1, 0, "r", "c.py", "Client", "class", 6, 11), (1, 1, "r", "c.py", "Client.get", "method", 7, 8), (1, 2, "r", "c.py", "main", "function", 13, 14), (2, 0, "r", "Field.C", "Field::norm", "method", 3, 5)],
