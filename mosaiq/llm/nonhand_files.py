@@ -54,6 +54,8 @@ GENERATED_NAME = re.compile(
     re.I,
 )
 MINIFIED_NAME = re.compile(r"[.\-](?:min|pack|prod|bundle|compressed|packed)\.[a-z]+$|^chunk-[0-9a-f]{6,}\.", re.I)
+#: Names of numbered tables; they count where the text itself isn't at hand.
+DATA_NAME = re.compile(r"^(?:icons|glyphs|font_table|fixture_dump|seed|lut|data|table|dump|blob)_\d+\.[a-z]+$", re.I)
 VENDOR_DIR = re.compile(r"^(?:_?vendor(?:ed|s)?|third[-_]?party|3rd[-_]?party|node_modules|bower_(?:modules|components)|deps|dependencies|externals?|extern|bundled|contrib|site-packages|lib|libs)$", re.I)
 
 
@@ -169,7 +171,7 @@ def origin(path: str | None, head: str | None, lines: int | None, size: int | No
         return "generated"
     if MINIFIED_NAME.search(name):
         return "minified"
-    return None
+    return "data" if not head and DATA_NAME.match(name) else None
 
 
 def library_pattern(libraries: list[str]) -> re.Pattern[str] | None:

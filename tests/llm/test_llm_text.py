@@ -88,7 +88,7 @@ export async function readDaemon(flatPanel: string): Promise<Binder> {
         ("a.ts", "// Thin adapter around zelfold 1.4.6; the library itself is installed separately.\n" + HAND, None),
         ("a.js", "function a(b,c){return b.d(c||1)}var e=f[1],g=!1;e&&(h=i?j:void 0);" * 9, "minified"), ("a.py", "KEY = \"" + "aB3/x" * 170 + '"', "data"),
         ("a.py", "id;name;size\n" + "\n".join(f"{i * 7919};buffer;{i * 31}" for i in range(30)), "data"), ("a.c", "static const unsigned char X[] = {\n" + "  0x2a, 0x9f, 0x34, 0x58,\n" * 30 + "};", "data"),
-        ("a.go", "import x \"y\"\n" + "\n".join(f"_fld_{i} = _desc.add({i}, {i * 3}, 12, 3, None)" for i in range(20)), "generated"), (None, None, None), ("a.py", "", None), ("src/a.min.js", None, "minified"),
+        ("a.go", "import x \"y\"\n" + "\n".join(f"_fld_{i} = _desc.add({i}, {i * 3}, 12, 3, None)" for i in range(20)), "generated"), (None, None, None), ("a.py", "", None), ("src/a.min.js", None, "minified"), ("src/lut_52.py", None, "data"), ("src/lut_52.py", HAND, None),
     ],
 )
 def test_origins(path, head, want):
