@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _LOCAL_DIRS: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -71,13 +72,27 @@ def local_path(path: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared folder and read it again: lineage ends there and survives lost executors."""
+    """Write ``df`` into the shared folder and read it again: lineage ends there and survives lost executors.
+
+    The files stay until :func:`forget`, as later queries may read them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mosaiq-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process from the shared folder; DataFrames built on them can't be read any more. The number of tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 def limit_value(spark: SparkSession, sf_dir: str, name: str, default: int) -> int:
     """One entry of ``task_limits`` (a handful of rows of configuration)."""
     rows = table(spark, sf_dir, "task_limits").where(F.col("limit_name") == name).agg(F.max("limit_value")).collect()

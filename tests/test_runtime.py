@@ -1,5 +1,6 @@
 """Ranks, medians and latest rows against plain Python."""
 
+import os
 import random
 from statistics import median
 
@@ -46,3 +47,4 @@ def test_match_joins_nulls(spark):
 def test_shared_dir_follows_the_session(spark):
     where = rt.shared_dir(spark)
     assert rt.shared_dir(spark) == where and rt.materialise(spark.range(3)).count() == 3
+    assert rt.forget(spark) >= 1 and rt.forget(spark) == 0 and not [x for x in os.listdir(rt.local_path(where)) if x.startswith("mosaiq-")]
