@@ -8,12 +8,14 @@ the rest exactly, so the ids never depend on which words the lexicon holds.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def _ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=4)
 def _lexicon(folder: str) -> Lexicon:
-    return Lexicon.load(folder)
+    return Lexicon.load(SparkFiles.get(folder.removeprefix("spark-files:")) if folder.startswith("spark-files:") else folder)
 
 
 def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -96,9 +98,15 @@ def build_lexicon(documents: DataFrame, vocabulary: str, text: str = "text", mos
     top = word_counts(documents, text).orderBy(F.desc("n"), F.asc("word")).limit(most).select("word").toArrow()
     ranks = _ranks(vocabulary)
     entries = {w: merge(w, ranks) for w in (bytes(x) for x in top.column(0).to_pylist())}
-    folder = f"{local_path(shared_dir(documents.sparkSession))}/lexicon-{uuid.uuid4().hex}"
-    Lexicon.compile(entries).save(folder)
-    return folder
+    name, shared = f"lexicon-{uuid.uuid4().hex}", shared_dir(documents.sparkSession)
+    lexicon = Lexicon.compile(entries)
+    if "://" in shared and not shared.startswith("file:"):  # not a mounted folder: Spark hands the files to every executor
+        with tempfile.TemporaryDirectory() as tmp:
+            lexicon.save(f"{tmp}/{name}")
+            documents.sparkSession.sparkContext.addFile(f"{tmp}/{name}", recursive=True)
+        return f"spark-files:{name}"
+    lexicon.save(f"{local_path(shared)}/{name}")
+    return f"{local_path(shared)}/{name}"
 
 
 class Encoder:
