@@ -74,15 +74,28 @@ def local_path(path: str) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it again: lineage ends there and survives lost executors.
 
-    The files stay until :func:`forget`, as later queries may read them.
+    The files stay until the process ends or :func:`forget` is called, as later queries may read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mosaiq-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    written(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(path: str) -> None:
+    """Note a path in the shared folder that this process made. Paths of mounted folders are deleted when the process ends."""
+    if not _WRITTEN:
+        atexit.register(_sweep, os.getpid())
+    _WRITTEN.append(path)
+
+
+def _sweep(process: int) -> None:
+    if os.getpid() == process:  # not in forked children
+        while _WRITTEN:
+            shutil.rmtree(local_path(_WRITTEN.pop()), ignore_errors=True)
+
+
 def forget(spark: SparkSession) -> int:
     """Delete the intermediate tables of this process from the shared folder; DataFrames built on them can't be read any more. The number of tables."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
