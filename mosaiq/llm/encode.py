@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from mosaiq.llm.arrow_text import text_slices
 from mosaiq.llm.lexicon import Lexicon, merge, read_ranks
 from mosaiq.llm.pretokenize import words
-from mosaiq.runtime import local_path, shared_dir
+from mosaiq.runtime import local_path, shared_dir, written
 
 #: Words compiled into the lexicon at most; longer ones than this many bytes are left to merging.
 LEXICON_WORDS, LEXICON_BYTES = 60_000, 48
@@ -105,6 +105,7 @@ def build_lexicon(documents: DataFrame, vocabulary: str, text: str = "text", mos
             lexicon.save(f"{tmp}/{name}")
             documents.sparkSession.sparkContext.addFile(f"{tmp}/{name}", recursive=True)
         return f"spark-files:{name}"
+    written(f"{shared}/{name}")
     lexicon.save(f"{local_path(shared)}/{name}")
     return f"{local_path(shared)}/{name}"
 
