@@ -118,7 +118,7 @@ def latest(df: DataFrame, key: str, order: list[Column], keep: list[str]) -> Dat
     Further ties are decided by the kept values, so the result never depends on the order of the input. Rows are
     pre-aggregated before the shuffle, so a key that holds many rows costs one row per task.
     """
-    ordinal = [c.alias(f"o{i}") for i, c in enumerate(order)]
+    ordinal = [c.alias(f"_order{i}") for i, c in enumerate(order)]
     best = F.max(F.struct(*ordinal, *[F.col(c) for c in keep])).alias("best")
     out = df.where(F.col(key).isNotNull()).groupBy(key).agg(best)
     return out.select(key, *[F.col("best")[c].alias(c) for c in keep])

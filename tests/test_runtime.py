@@ -49,3 +49,15 @@ def test_shared_dir_follows_the_session(spark):
     assert rt.shared_dir(spark) == where and rt.materialise(spark.range(3)).count() == 3
     mine = list(rt._WRITTEN)
     assert mine and rt.forget(spark) == len(mine) and rt.forget(spark) == 0 and not [x for x in mine if os.path.exists(rt.local_path(x))]
+
+
+def test_latest_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, 5, "a", "x"), (1, 6, "b", "y")], "k int, o0 int, best string, v string")
+    assert [tuple(r) for r in rt.latest(rows, "k", [F.col("o0")], ["o0", "best", "v"]).collect()] == [(1, 6, "b", "y")]
+
+
+def test_ranks_agree_on_a_third_of_rows_in_one_group(spark):
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('g', id % 700) END AS g", "hash(id) % 50 AS v", "id")
+    got = rt.ranked(rows, ["g"], ["v", "id"])
+    want = rows.selectExpr("g", "id", "row_number() OVER (PARTITION BY g ORDER BY v, id) AS want")
+    assert got.join(want, ["g", "id"]).where("rank = want").count() == 30_000
