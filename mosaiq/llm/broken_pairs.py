@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,6 +43,7 @@ FUNCTION_WORDS = {
     "nl": "de het een van en is niet te dat op voor met als aan er door wordt zijn bij naar ook om maar dan nog deze elke wanneer".split(),
 }
 FUNCTION_WORDS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+LANGUAGES_OF = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v) for w in frozenset().union(*FUNCTION_WORDS.values())}
 
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 SENTENCE_END = ".!?。！？…"
@@ -230,11 +232,15 @@ def empty(answer: str | None) -> bool:
     return not words or PLACEHOLDER.fullmatch(words) is not None
 
 
+NAMES = re.compile(r"\b\w+\.\w+(?:\(\))?|\b[a-z]+[A-Z]\w*|\b(?:[A-Z][a-z]+){2,}\b")
+
+
 def prose(text: str) -> str:
     """``text`` without code: fences, code spans, paths and identifiers."""
     text = re.sub(r"```.*?(?:```|$)", " ", text, flags=re.S)
     text = re.sub(r"`[^`\n]*`?", " ", text)
-    return re.sub(r"\S*[/_\\]\S*|\b\w+\.\w+(?:\(\))?|\b[a-z]+[A-Z]\w*|\b(?:[A-Z][a-z]+){2,}\b", " ", text)
+    text = " ".join([w for w in text.split() if "/" not in w and "_" not in w and "\\" not in w])
+    return NAMES.sub(" ", text)
 
 
 def language(text: str) -> tuple[str, float, dict[str, float]]:
@@ -251,14 +257,22 @@ def language(text: str) -> tuple[str, float, dict[str, float]]:
     foreign = sum(scripts.values())
     if foreign > 0.4 * n:
         return ("ja" if scripts["ja"] > 0.1 * n else max(scripts, key=scripts.get)), foreign / n, {}
-    shares = {k: sum(w in v for w in words) / len(words) for k, v in FUNCTION_WORDS.items()}
+    counts = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in words:
+        for k in LANGUAGES_OF.get(w, ()):
+            counts[k] += 1
+    shares = {k: n / len(words) for k, n in counts.items()}
     best = max(shares, key=shares.get)
     return (best if shares[best] * len(words) >= 2 and shares[best] >= 0.1 else ""), shares[best], shares
 
 
+#: One question often has several answers.
+_question_language = lru_cache(maxsize=4096)(language)
+
+
 def other_language(question: str, answer: str) -> bool:
     """Whether the prose of ``answer`` is in another language than that of ``question``; texts too short to tell are not."""
-    own, _, own_shares = language(question)
+    own, _, own_shares = _question_language(question)
     its, share, shares = language(answer)
     if not its or its == own:
         return False
