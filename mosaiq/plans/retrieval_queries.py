@@ -77,19 +77,9 @@ def pointer_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full_pack(spark: SparkSession, d: str) -> DataFrame:
-    """(qid, ord, key, tokens): up to four answers, then the six best files by blended score, within 2000 tokens."""
-    from pyspark.sql.window import Window
-
-    hits, files, qa = _hits(spark, d, 60), v.files(spark, d), v.qa(spark, d)
-    top = hits.groupBy("qid").agg(F.max("score").alias("top"))
-    a = hits.where("utype = 'qa'").join(top, "qid").where(F.col("score") >= 0.45 * F.col("top"))
-    a = a.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("n <= 4").withColumn("qa_id", F.expr("CAST(substr(uid, 4) AS BIGINT)"))
-    a = a.join(qa.select("qa_id", "q", "a"), "qa_id").select("qid", F.col("rank").alias("ord"), F.col("uid").alias("key"), F.expr("concat('Q: ', coalesce(q, ''), '\\nA: ', coalesce(a, ''))").alias("text"))
-    f = packs.file_scores(hits, v.symbols(spark, d), qa, files)
-    f = f.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "file_id"))).where("n <= 6")
-    f = f.join(files.select("file_id", "path", "lines"), "file_id").select("qid", (F.col("n") + 1000).cast("bigint").alias("ord"), F.concat(F.lit("file:"), "file_id").alias("key"), F.expr("concat('FILE ', coalesce(path, ''), ' (', CAST(lines AS STRING), ' lines)')").alias("text"))
-    rows = a.unionByName(f).withColumn("tokens", F.expr(tx.estimated_tokens("text")).cast("bigint"))
-    return packs.greedy(rows.select("qid", "ord", "key", "tokens"), 2000)
+    """(qid, ord, key, tokens, text): answers, files with their symbols and a module within 2000 tokens, and excerpts of source within 1800."""
+    files, symbols = materialise(v.files(spark, d)), materialise(v.symbols(spark, d))
+    return packs.full_pack(_hits(spark, d, 60), v.questions(spark, d), symbols, v.qa(spark, d), files)
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
