@@ -35,10 +35,9 @@ def prompt_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grep_definitions(spark: SparkSession, d: str) -> DataFrame:
-    """(event_id, pos, name, hits): the names that each stated question would be searched for, and how many symbols have that last part."""
-    names = sessions.grep_names(v.questions(spark, d).select(F.col("qid").alias("event_id"), F.col("text").alias("pattern")))
-    s = v.symbols(spark, d).where("name IS NOT NULL").groupBy(F.element_at(F.split("name", r"\."), -1).alias("name")).agg(F.count(F.lit(1)).alias("hits"))
-    return names.join(s, "name", "left").select("event_id", "pos", "name", F.coalesce("hits", F.lit(0)).alias("hits"))
+    """The symbols that the names in each prompt may mean, every current question being a prompt; ``event_id`` is its id."""
+    names = sessions.grep_names(v.qa(spark, d).select(F.col("qa_id").alias("event_id"), F.col("q").alias("pattern")))
+    return sessions.definitions(names, v.symbols(spark, d))
 
 
 def gap_sessions(spark: SparkSession, d: str) -> DataFrame:

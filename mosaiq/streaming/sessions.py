@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from mosaiq.functions import text as tx
+
 
 def session_key(column: str) -> F.Column:
     """A session id of letters, digits, ``-`` and ``_``, at most 80 characters; ``default`` where nothing is left."""
@@ -48,10 +50,24 @@ def prompt_gate(prompts: DataFrame) -> DataFrame:
 
 def grep_names(patterns: DataFrame) -> DataFrame:
     """(event_id, pos, name): up to three identifiers of a search pattern that may name definitions."""
-    names = "filter(regexp_extract_all(coalesce(pattern, ''), r'[A-Za-z_][A-Za-z0-9_.]{2,}', 0), n -> lower(n) NOT IN ('def', 'class', 'function', 'func', 'const'))"
+    names = r"filter(regexp_extract_all(coalesce(pattern, ''), r'[A-Za-z_][\p{L}\p{N}_.]{2,}', 0), n -> lower(n) NOT IN ('def', 'class', 'function', 'func', 'const'))"
     return patterns.select("event_id", F.posexplode(F.expr(f"slice({names}, 1, 3)")).alias("pos", "name"))
 
 
+def definitions(names: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``names`` (event_id, pos, name) with the symbols each may mean: (event_id, pos, name, n, file_id, i, path, start_line, end_line, kind, symbol, exact).
+
+    A symbol matches by its full name or the last part of it; dots at the end of a name don't count. ``n`` numbers the symbols of a name: full matches first, then by file and
+    position. Names without a symbol give no row. Each name is looked up once, however often it is asked.
+    """
+    asked = names.withColumn("want", F.expr("trim(TRAILING '.' FROM name)")).where("want <> ''")
+    wanted = asked.select("want").distinct().withColumn("last", F.expr(tx.last_part("want")))
+    s = symbols.where("name IS NOT NULL").select("file_id", "i", "path", "start_line", "end_line", "kind", F.col("name").alias("symbol"), F.expr(tx.last_part("name")).alias("last"))
+    found = wanted.join(s, "last").withColumn("exact", F.col("symbol") == F.col("want"))
+    n = F.row_number().over(Window.partitionBy("want").orderBy(F.desc("exact"), "file_id", "i")).cast("bigint")
+    return asked.join(found.withColumn("n", n), "want").select("event_id", "pos", "name", "n", "file_id", "i", "path", "start_line", "end_line", "kind", "symbol", "exact")
+
+
 def stream_first_sent(events: DataFrame, idle_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
     """:func:`first_sent` over a stream of (session, unit, ts, event_id): state holds the units each session has received.
 
