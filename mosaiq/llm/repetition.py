@@ -29,6 +29,8 @@ CHUNK = 2048
 BANDS = ((0, 9.0, 9.0), (100, 0.70, 1.00), (200, 0.62, 0.95), (400, 0.56, 0.90), (800, 0.50, 0.85), (1600, 0.46, 0.80), (3200, 0.42, 0.75), (6400, 0.40, 0.70))
 #: Chunks stand for themselves; a text of which this share lies in repetitive chunks is repetitive.
 CHUNK_SHARE = 0.3
+#: Bytes that the compressor looks back.
+SEEN = 1 << 21
 
 _LETTER: np.ndarray | None = None
 
@@ -136,6 +138,10 @@ def repetition(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def repetitive(documents: DataFrame, least: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The keys of the documents whose band is repetitive and whose repeated share is at least ``least``."""
+    """The keys of the documents whose repeated share is at least ``least``, unless their band rules that out.
+
+    The lower limits alone lose texts of high entropy (random letters, large alphabets), so only ``incompressible`` texts are no candidates; those of more than ``SEEN``
+    bytes are, as the ratio doesn't see copies that far apart. The exact share decides.
+    """
     rows = repetition(documents, key, text)
-    return rows.where((F.col("band") == "repetitive") & (F.col("repeated_share") >= least)).select(key)
+    return rows.where(((F.col("band") != "incompressible") | (F.col("n_letters") > SEEN)) & (F.col("repeated_share") >= least)).select(key)
