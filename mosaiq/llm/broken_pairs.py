@@ -24,7 +24,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 PLACEHOLDER = re.compile(
     r"(?:n a|na|nil|null|tbd|tba|tbc|todo|to do|wip|pending|blank|empty|xxx+|placeholder(?: \w+){0,30}|fill in|fill me in|no output|no answer|no answer given|no response"
     r"|not answered|unanswered|answer goes here|your answer here|insert answer here|will be added later|to be added|to be done|coming soon|empty for now"
-    r"|(?:answer|a|response|reply)(?: (?:answer|a|response|reply))*|lorem(?: \w+){0,12}|(?:answer|text|description|explanation|details?) (?:for|of|about|on|to)(?: \w+){0,20} to be (?:written|added|done|filled in|provided|completed|supplied)|(?:todo|to do|tbd|fixme) (?:describe|explain|answer|write|add|fill)(?: \w+){0,8})"
+    r"|(?:answer|a|response|reply)(?: (?:answer|a|response|reply))*|lorem(?: \w+)*|(?:answer|text|description|explanation|details?) (?:for|of|about|on|to)(?: \w+){0,20} to be (?:written|added|done|filled in|provided|completed|supplied)|(?:todo|to do|tbd|fixme) (?:describe|explain|answer|write|add|fill)(?: \w+){0,8})"
 )
 #: Words that only frame a repeated question.
 FRAME = frozenset(
@@ -145,32 +145,51 @@ def tiled(question: list[str], answer: list[str], least: int = 3) -> list[bool]:
     for j, w in enumerate(question):
         where.setdefault(w, []).append(j)
     marked = [False] * len(answer)
+
+    def run(i: int) -> int:
+        most = 0
+        for j in where.get(answer[i], ()):
+            k = 0
+            while i + k < len(answer) and j + k < len(question) and not marked[i + k] and answer[i + k] == question[j + k]:
+                k += 1
+            most = max(most, k)
+        return most
+
     while True:
-        best, at = least - 1, -1
-        i = 0
-        while i < len(answer):
-            if not marked[i]:
-                for j in where.get(answer[i], ()):
-                    k = 0
-                    while i + k < len(answer) and j + k < len(question) and not marked[i + k] and answer[i + k] == question[j + k]:
-                        k += 1
-                    if k > best:
-                        best, at = k, i
-            i += 1
-        if at < 0:
+        best = max((run(i) for i in range(len(answer)) if not marked[i]), default=0)
+        if best < least:
             return marked
-        marked[at : at + best] = [True] * best
+        # all runs of one length in one pass, so that long answers take as many passes as there are lengths
+        for i in range(len(answer)):
+            if not marked[i] and run(i) == best:
+                marked[i : i + best] = [True] * best
+
+
+#: Words that answer by themselves, so an answer with one that the question lacks is no copy.
+ANSWERING = frozenset("yes no not never none because ja nein nicht kein weil oui non pas jamais parce sí nunca porque".split())
+#: The share of an answer's words, without framing ones, that lie in common runs with the question from which the answer is a copy though it has words of its own.
+TILED_SHARE = 0.85
 
 
 def copied(question: str, answer: str) -> bool:
-    """Whether ``answer`` only gives the question back, perhaps turned around, repeated or framed by empty words."""
+    """Whether ``answer`` only gives the question back, perhaps turned around, repeated, framed or with a word changed; of any length.
+
+    Words of its own are looked at by the tiled share. Of questions under three words only whole repetitions are copies.
+    """
     q, a = WORD.findall(question.lower()), WORD.findall(answer.lower())
-    if len(q) < 3 or not a or len(a) > 4 * len(q) + 16:
+    if not q or not a:
         return False
     own = set(q)
-    if any(w not in own and w not in FRAME for w in a) or len(own & set(a)) < 0.7 * len(own):
+    added = [w for w in a if w not in own and w not in FRAME]
+    # the tiled share can't exceed that of words which the question has
+    if len(added) > (1 - TILED_SHARE) * len(a) or not ANSWERING.isdisjoint(added) or len(own & set(a)) < 0.7 * len(own):
         return False
+    if len(q) < 3:
+        return len(a) % len(q) == 0 and a == q * (len(a) // len(q))
     marked = tiled(q, a)
+    if added:
+        inside = sum(marked)
+        return inside >= TILED_SHARE * (inside + sum(not m and w not in FRAME for w, m in zip(a, marked)))
     rest = [w for w, m in zip(a, marked) if not m]
     return len(rest) <= max(6, 0.4 * len(a))
 
@@ -204,8 +223,6 @@ FILLER = re.compile(
 
 def refused(answer: str) -> bool:
     """Whether ``answer`` declines and says nothing of substance: every sentence refuses or is filler, at least one refuses."""
-    if len(answer) > 1500:
-        return False
     text = re.sub(r"```.*?(?:```|$)", " §code§ ", answer, flags=re.S)
     text = text.replace("’", "'").replace("**", "").lower()
     refusals = 0
@@ -226,8 +243,6 @@ def empty(answer: str | None) -> bool:
     """Whether there is no answer: null, blank, only marks, or a placeholder."""
     if answer is None:
         return True
-    if len(answer) > 120:
-        return not WORD.search(answer)
     words = " ".join(WORD.findall(answer.lower()))
     return not words or PLACEHOLDER.fullmatch(words) is not None
 
