@@ -1,13 +1,14 @@
 """Broken prompt and response pairs: empty, copied, refused, truncated, or in another language.
 
-A pushdown parser reads fences, brackets, code spans, quotations, emphasis and lists of an answer and tells whether it ends
-inside one of them or in the middle of a sentence; greedy string tiling finds answers that only give the question back;
-a small grammar of refusals and fillers finds answers without substance; script and function-word checks compare languages.
+A pushdown parser reads fences, brackets, code spans, quotations, emphasis, markup, lists and sentences of an answer and tells whether it ends with one of
+them open; greedy string tiling finds answers that only give the question back; grammars over classes of words find refusals and placeholders;
+scripts and profiles of function words compare languages. Nothing depends on how long a text is.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,12 +21,6 @@ from mosaiq.runtime import latest
 WORD = re.compile(r"[^\W_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
-#: What stands in place of an answer (words only, lower case, digits as they are).
-PLACEHOLDER = re.compile(
-    r"(?:n a|na|nil|null|tbd|tba|tbc|todo|to do|wip|pending|blank|empty|xxx+|placeholder(?: \w+){0,30}|fill in|fill me in|no output|no answer|no answer given|no response"
-    r"|not answered|unanswered|answer goes here|your answer here|insert answer here|will be added later|to be added|to be done|coming soon|empty for now"
-    r"|(?:answer|a|response|reply)(?: (?:answer|a|response|reply))*|lorem(?: \w+)*|(?:answer|text|description|explanation|details?) (?:for|of|about|on|to)(?: \w+){0,20} to be (?:written|added|done|filled in|provided|completed|supplied)|(?:todo|to do|tbd|fixme) (?:describe|explain|answer|write|add|fill)(?: \w+){0,8})"
-)
 #: Words that only frame a repeated question.
 FRAME = frozenset(
     "a an and answer ask asked asking do good great here i is it know me my ok okay please q question re repeat response so sure that the this to want was you your "
@@ -40,211 +35,355 @@ FUNCTION_WORDS = {
     "it": "il lo gli di che è un una per non con del della dei delle finché si trova questo ogni perché già poi quando sono nel più serve".split(),
     "pt": "o os um uma não é de do da dos das em por para com que se ao até quando cada falta porque já depois fica junto dessa está pelo na no".split(),
     "pl": "nie jest się do na w z że a i aby gdy przez ponieważ już każdy obok potem najpierw czy go przed dla jak oraz tego ten wartość".split(),
+    "sv": "och att det som på är av för med till har inte om ett från när kan eller efter ska också utan där varje denna detta".split(),
+    "da": "og det som på er af for med til har ikke om fra når kan eller efter skal også uden hvor hver denne dette ved bliver".split(),
+    "fi": "ja on ei se että kun jos tai myös vain niin sitä ovat ennen sen joka kuin mutta kaikki jälkeen".split(),
+    "cs": "je se na že to pro při jako by aby ale nebo už až když jen po také který pokud před".split(),
+    "ro": "și este nu la pentru care din cu să dacă sau după când fiecare până este mai prin acest această".split(),
+    "tr": "ve bir bu için ile değil sonra kadar olarak eğer veya her daha önce gibi ancak olan".split(),
+    "hu": "és az nem hogy egy ha vagy de csak után minden amikor mert még már ezt azt kell".split(),
     "nl": "de het een van en is niet te dat op voor met als aan er door wordt zijn bij naar ook om maar dan nog deze elke wanneer".split(),
 }
 FUNCTION_WORDS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 LANGUAGES_OF = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v) for w in frozenset().union(*FUNCTION_WORDS.values())}
 
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
+CLOSERS = frozenset(OPENERS.values())
 SENTENCE_END = ".!?。！？…"
-CLOSING = "\"'”’»*_)]}`"
-ITEM = re.compile(r"\s{0,6}(?:[-*+•]|\d{1,3}[.)])(?:\s|$)")
+CLAUSE_MARKS = ",;:-–—"
+#: Elements of markup that must be closed.
+PAIRED = frozenset("ul ol dl table thead tbody pre code div span strong em blockquote details summary section article h1 h2 h3 h4 h5 h6 kbd sub sup answer".split())
 POINTER = re.compile(r"(?:\W*)(?:see|see also|refs?|references?|sources?|siehe|vgl|voir|véase|ver|vedi|zie)\b", re.I)
-TOKEN = re.compile(r"```+|~~~+|`+|\*\*|[()\[\]{}“”«»„\"]|\n")
+LINE = re.compile(r"[ \t]{0,6}(?:(?P<fence>```+|~~~+)|(?P<item>(?:[-*+•]|\d{1,3}[.)])(?=\s|$))|(?P<head>#{1,6}\s)|(?P<row>\|))?")
+MARK = re.compile(
+    r"(?P<break>\n)|(?P<ticks>`+)|(?P<tag></?(?P<name>[a-z][a-z0-9]*)(?:\s[^<>\n]*)?/?>)|(?P<strong>\*\*)|(?P<open>[(\[{“«„])|(?P<close>[)\]}”»])|(?P<quote>\")"
+    r"|(?P<end>[.!?。！？…]+)|(?P<clause>[,;:–—-])|(?P<word>[^\W_][\w ]*)"
+)
 SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'*_)]*\s+|\n+")
 
 
 class Pushdown:
-    """What is still open where a text ends: a stack of fences, brackets, quotations and code spans."""
+    """What is still open where a text ends: a stack of fences, markup, brackets, quotations, emphasis, code spans, list items and sentences.
+
+    A blank line ends inline constructs and sentences, as an unclosed one before it is only untidy; headings, table rows and list items end with their
+    line. Of a list it is kept whether any item ended a sentence: if none did, the items needn't.
+    """
 
     def __init__(self, text: str):
         self.stack: list[str] = []
-        self.fence = False
-        self.fenced_last = False
-        fence = ""
-        line_start = True
-        quotes = 0
-        at = 0
-        while m := TOKEN.search(text, at):
-            mark = m.group()
-            line_start = not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip() if mark[0] in "`~" and len(mark) >= 3 else False
-            at = m.end()
-            if fence:
-                if mark[0] == fence[0] and len(mark) >= len(fence) and line_start:
-                    fence = ""
-                    self.fenced_last = not text[at:].strip(" \n\t\"*_")
-                continue
-            if mark == "\n":
-                # code spans and brackets end with their paragraph: an unclosed one before a blank line is only untidy
-                if text.startswith("\n", at) and text[at:].strip():
-                    self.stack.clear()
-                    quotes = 0
-                continue
-            if len(mark) >= 3 and mark[0] in "`~":
-                if line_start:
-                    fence = mark
-                elif "`" in self.stack:
-                    self.stack.remove("`")
-                continue
-            if self.stack and self.stack[-1] == "`":
-                if mark[0] == "`":
-                    self.stack.pop()
-                continue
-            if mark[0] == "`":
+        self.clause = False  # the last thing read was a mark inside a sentence
+        self.trail = False  # ... or an ellipsis
+        self.pointer = False  # the open line is a list of references
+        self.words = 0
+        self.lines = 1
+        self.after_code = False
+        self.items = self.ended = 0
+        at = self._line(text, 0)
+        while m := MARK.search(text, at):
+            at = getattr(self, f"_{m.lastgroup if m.lastgroup != 'name' else 'tag'}")(m, text)
+        if "fence" in self.stack:
+            self.stack = ["fence"]
+
+    def _pop(self, mark: str) -> None:
+        """Close ``mark`` and what was opened inside it."""
+        while self.stack.pop() != mark:
+            pass
+
+    def _line(self, text: str, at: int) -> int:
+        """The beginning of a line: fences, items, headings."""
+        m = LINE.match(text, at)
+        kind = m.lastgroup
+        end = text.find("\n", at)
+        if "fence" in self.stack:
+            if kind == "fence" and m.group(kind)[0] == self.fence[0] and len(m.group(kind)) >= len(self.fence):
+                self._pop("fence")
+                self.after_code = True
+                return m.end()
+            return len(text) if end < 0 else end  # code isn't parsed
+        self.pointer = bool(POINTER.match(text, at))
+        if kind == "fence":
+            self.stack.append("fence")
+            self.fence = m.group(kind)
+            return len(text) if end < 0 else end
+        if kind in ("item", "head", "row"):
+            self.stack.append(kind)
+            self.items += kind == "item"
+        return m.end()
+
+    def _break(self, m: re.Match[str], text: str) -> int:
+        self.lines += 1
+        if "fence" not in self.stack:
+            for kind in ("item", "head", "row"):
+                if kind in self.stack:
+                    self._pop(kind)
+            if text.startswith("\n", m.end()):
+                self.stack = [x for x in self.stack if x.startswith("<")]
+                self.items = self.ended = 0
+        return self._line(text, m.end())
+
+    def _content(self) -> None:
+        self.after_code = self.clause = self.trail = False
+
+    def _ticks(self, m: re.Match[str], text: str) -> int:
+        close = text.find(m.group(), m.end())
+        stop = text.find("\n\n", m.end())
+        self._content()
+        if "sentence" not in self.stack:
+            self.stack.append("sentence")
+        if close < 0 or 0 <= stop < close:
+            if stop < 0:
                 self.stack.append("`")
-            elif mark == "**":
-                if "**" in self.stack:
-                    self.stack.remove("**")
-                else:
-                    self.stack.append("**")
-            elif mark == '"':
-                quotes ^= 1
-            elif mark in OPENERS:
-                self.stack.append(OPENERS[mark])
+                return len(text)
+            return m.end()
+        self.words += 1
+        return close + len(m.group())
+
+    def _tag(self, m: re.Match[str], text: str) -> int:
+        name = m.group("name")
+        if name in PAIRED and not m.group("tag").endswith("/>"):
+            mark = f"<{name}>"
+            if not m.group("tag").startswith("</"):
+                self.stack.append(mark)
             elif mark in self.stack:
-                while self.stack.pop() != mark:
-                    pass
-        self.fence = bool(fence)
-        self.quote = bool(quotes)
+                self._pop(mark)
+                self._content()
+                self.after_code = name in ("pre", "ul", "ol", "dl", "table")
+        return m.end()
+
+    def _toggle(self, mark: str, m: re.Match[str], text: str) -> int:
+        """A mark that opens before a word and closes after one."""
+        if mark in self.stack:
+            if not text[m.start() - 1].isspace():
+                self._pop_inner(mark)
+        elif text[m.end() : m.end() + 1].strip() and not text[m.start() - 1 : m.start()].isalnum():
+            self.stack.append(mark)
+        return m.end()
+
+    def _pop_inner(self, mark: str) -> None:
+        """Close an inline mark; a sentence that began inside it goes on after it."""
+        inside = self.stack[self.stack.index(mark) :]
+        self._pop(mark)
+        if "sentence" in inside and "sentence" not in self.stack:
+            self.stack.append("sentence")
+
+    def _strong(self, m: re.Match[str], text: str) -> int:
+        return self._toggle("**", m, text)
+
+    def _quote(self, m: re.Match[str], text: str) -> int:
+        return self._toggle('"', m, text)
+
+    def _open(self, m: re.Match[str], text: str) -> int:
+        self._content()
+        if m.group() == "„" or m.group() != "“" or "“" not in self.stack:
+            self.stack.append(OPENERS[m.group()])
+        else:
+            self._pop_inner("“")  # the closing mark of „
+        return m.end()
+
+    def _close(self, m: re.Match[str], text: str) -> int:
+        if m.group() in self.stack:
+            self._pop_inner(m.group())
+        return m.end()
+
+    def _end(self, m: re.Match[str], text: str) -> int:
+        after = text[m.end() : m.end() + 1]
+        numbered = m.group() == "." and re.search(r"(?:^|\n)\W*\d{1,3}$", text[max(0, m.start() - 12) : m.start()])
+        if (not after or not after.isalnum() and after not in "_/(") and not numbered:
+            self.clause = False
+            self.trail = m.group() in ("...", "…") and bool(self.words)
+            if "sentence" in self.stack and not CLOSERS.intersection(self.stack[self.stack.index("sentence") :]):
+                self._pop_sentence()
+        return m.end()
+
+    def _pop_sentence(self) -> None:
+        self.stack.remove("sentence")
+        self.ended += "item" in self.stack
+
+    def _clause(self, m: re.Match[str], text: str) -> int:
+        after = text[m.end() : m.end() + 1]
+        if not after or not after.isalnum():
+            self.clause = True
+        return m.end()
+
+    def _word(self, m: re.Match[str], text: str) -> int:
+        self._content()
+        self.words += len(m.group().split())
+        if "sentence" not in self.stack:
+            self.stack.append("sentence")
+        return m.end()
 
 
 def truncated(answer: str) -> bool:
-    """Whether ``answer`` breaks off: inside a fence, bracket, code span or list item, or in the middle of a sentence."""
-    text = answer.rstrip()
-    state = Pushdown(text)
-    if state.fence:
+    """Whether ``answer`` ends before it is complete: with something open on the stack of the parser, or with a mark that promises more.
+
+    An open sentence alone is no defect of a one-line phrase of up to five words, after a block of code, and in a list none of whose items ends a sentence.
+    """
+    state = Pushdown(answer.rstrip())
+    open_ = set(state.stack) - {"sentence", "item", "head", "row"}
+    if open_ or "fence" in state.stack:
         return True
-    if state.fenced_last:
+    if state.after_code:
         return False
-    last = text[text.rfind("\n") + 1 :].strip()
-    if "`" in state.stack or any(c in state.stack for c in ")]}"):
-        return True
-    bare = text.rstrip(CLOSING + " ")
-    if last.endswith(":") or last.endswith("…") and len(text) > 60 or bare[-1:] in ",;:-–—":
+    if state.clause or state.trail:
         return True
-    if text[-1:] in SENTENCE_END or bare[-1:] in SENTENCE_END:
-        return bool(re.fullmatch(r"\W*\d{1,3}[.)]", last)) and "\n" in text
-    words = WORD.findall(text)
-    if ITEM.match(last) or POINTER.match(last):
-        return not last.endswith("`") and not (ITEM.match(last) and _plain_items(text))
-    return not ("\n" not in text.strip() and len(words) <= 5)
+    if "sentence" not in state.stack:
+        return "item" in state.stack and bool(re.search(r"(?:[-*+•]|\d{1,3}[.)])$", answer.rstrip())) and state.lines > 1
+    last = answer.rstrip()
+    if "item" in state.stack or state.pointer:
+        return not last.endswith("`") and not (state.items > 1 and not state.ended)
+    if "row" in state.stack:
+        return not last.endswith("|")
+    return not (state.lines == 1 and state.words <= 5)
 
 
-def _plain_items(text: str) -> bool:
-    """Whether no item of the last list ends a sentence, so that the last one needn't either."""
-    items = [x.rstrip() for x in text.split("\n") if ITEM.match(x)]
-    return len(items) > 1 and all(x[-1:] not in SENTENCE_END for x in items)
+def tiles(question: list[str], answer: list[str]) -> list[int]:
+    """Greedy string tiling: for each word of ``answer`` the length of the common run it lies in, the longest runs first, 0 outside of all.
 
-
-def tiled(question: list[str], answer: list[str], least: int = 3) -> list[bool]:
-    """Greedy string tiling: which words of ``answer`` lie in maximal common runs of at least ``least`` words, longest first.
-
-    Runs may be repeated: a stretch of the question can cover several stretches of the answer.
+    A stretch of the question may cover several stretches of the answer, so that repetitions are covered too.
     """
     where: dict[str, list[int]] = {}
     for j, w in enumerate(question):
         where.setdefault(w, []).append(j)
-    marked = [False] * len(answer)
+    size = [0] * len(answer)
 
     def run(i: int) -> int:
         most = 0
         for j in where.get(answer[i], ()):
             k = 0
-            while i + k < len(answer) and j + k < len(question) and not marked[i + k] and answer[i + k] == question[j + k]:
+            while i + k < len(answer) and j + k < len(question) and not size[i + k] and answer[i + k] == question[j + k]:
                 k += 1
             most = max(most, k)
         return most
 
-    while True:
-        best = max((run(i) for i in range(len(answer)) if not marked[i]), default=0)
-        if best < least:
-            return marked
+    while best := max((run(i) for i in range(len(answer)) if not size[i]), default=0):
         # all runs of one length in one pass, so that long answers take as many passes as there are lengths
         for i in range(len(answer)):
-            if not marked[i] and run(i) == best:
-                marked[i : i + best] = [True] * best
+            if not size[i] and run(i) == best:
+                size[i : i + best] = [best] * best
+    return size
 
 
 #: Words that answer by themselves, so an answer with one that the question lacks is no copy.
 ANSWERING = frozenset("yes no not never none because ja nein nicht kein weil oui non pas jamais parce sí nunca porque".split())
-#: The share of an answer's words, without framing ones, that lie in common runs with the question from which the answer is a copy though it has words of its own.
-TILED_SHARE = 0.85
+#: What a word counts in a run of one, two and more words, the covered share from which an answer is a copy, and the share of the question that must be in it.
+RUN_WEIGHTS, COPIED_SHARE, GIVEN_BACK = (0.0, 0.6, 0.8, 1.0), 0.75, 0.7
 
 
 def copied(question: str, answer: str) -> bool:
-    """Whether ``answer`` only gives the question back, perhaps turned around, repeated, framed or with a word changed; of any length.
+    """Whether tiles of ``question`` cover ``answer``: it only gives the question back, perhaps turned around, repeated, framed or with a word changed.
 
-    Words of its own are looked at by the tiled share. Of questions under three words only whole repetitions are copies.
+    Words in longer common runs count more; uncovered words that only frame a question don't count. An answer that adds a word which answers by itself is none.
     """
     q, a = WORD.findall(question.lower()), WORD.findall(answer.lower())
     if not q or not a:
         return False
     own = set(q)
-    added = [w for w in a if w not in own and w not in FRAME]
-    # the tiled share can't exceed that of words which the question has
-    if len(added) > (1 - TILED_SHARE) * len(a) or not ANSWERING.isdisjoint(added) or len(own & set(a)) < 0.7 * len(own):
+    known = sum(w in own for w in a)
+    # every known word lies in a tile, if only of itself: where these are too few, no tiling covers enough
+    if known < COPIED_SHARE * (known + sum(w not in own and w not in FRAME for w in a)):
+        return False
+    size = tiles(q, a)
+    if any(not n and w in ANSWERING for w, n in zip(a, size)):
         return False
-    if len(q) < 3:
-        return len(a) % len(q) == 0 and a == q * (len(a) // len(q))
-    marked = tiled(q, a)
-    if added:
-        inside = sum(marked)
-        return inside >= TILED_SHARE * (inside + sum(not m and w not in FRAME for w, m in zip(a, marked)))
-    rest = [w for w, m in zip(a, marked) if not m]
-    return len(rest) <= max(6, 0.4 * len(a))
-
-
-#: By language, words of the first person and words of inability; a sentence with both refuses.
-DECLINING = [
-    (re.compile(rf"\b(?:{first})\b"), re.compile(rf"\b(?:{unable})\b"))
-    for first, unable in (
-        (
-            r"i|i'm|i'd|i've|i'll|me|my|we|our",
-            r"sorry|apolog\w*|regret\w*|unfortunately|unable|not able|cannot|can not|can't|could not|couldn't|won't|will not|would not|wouldn't|must not|not allowed|decline|refuse|rather not"
-            r"|not possible|impossible|beyond what|do not have|don't have|have no|had no|was not given|not given|instructed not|not discuss|no comment|outside (?:of )?my|must pass|would need to"
-            r"|nothing i could|not comfortable|no access|lack",
-        ),
-        (r"ich|mir|mich", r"nicht|nichts|kein|keine|keinen|leid|leider|schuldig"),
-        (r"je|j|m|moi", r"désolée?|ne peux|ne puis|n'ai pas|n'est pas possible|m'abstenir|abstenir|impossible|malheureusement|préfère ne pas"),
-        (r"lo siento|no puedo|no tengo|no dispongo|prefiero|me|yo", r"lo siento|no puedo|no tengo|no dispongo|prefiero no|imposible|desgracia|lamento"),
-    )
-]
-#: Impersonal refusals.
-IMPERSONAL = re.compile(
-    r"(?:this|the|your|that) (?:request|question) (?:can't|cannot|can not|could not|will not) be (?:completed|answered|fulfilled|processed)|no answer is possible|answering (?:this|that) (?:is not|isn't|would go)"
-    r"|falls? outside (?:of )?(?:my|the) (?:scope|remit)|there is nothing i "
+    counted = [n for w, n in zip(a, size) if n or w not in FRAME]
+    covered = sum(RUN_WEIGHTS[min(n, 3)] if len(q) > 2 else float(n == len(q)) for n in counted)
+    back = len({w for w, n in zip(a, size) if n}) / len(own)
+    return covered >= COPIED_SHARE * len(counted) and covered > 0 and back >= GIVEN_BACK
+
+
+#: The classes of words that refusals are made of, in several languages. S: who speaks; N: not; C: being able or willing; A: to answer; K: to have or see;
+#: O: what one would have to have; D: declining, lacking; G: regret; Q: the question; B: beyond. A word may end in * for any ending.
+REFUSAL_CLASSES = {
+    "S": "i i'm i'd i've i'll me my mine myself we we're us our ich mir mich mein wir uns je j m moi mon nous yo mí io mi ho eu mim jag mig ik mij wij я мне меня мы",
+    "N": "not no n't never nothing none cannot can't won't couldn't wouldn't don't doesn't didn't isn't wasn't aren't haven't hadn't shouldn't mustn't nicht nichts kein keine keinen keinerlei nie ne n pas rien aucun aucune nada ningún ninguna non não nenhum nie не нет ничего inte ingen inget niet geen niets nie",
+    "C": "can could able unable allowed permitted possible position comfortable willing going like will would may must should won't unable kann könnte darf möchte will imstande lage möglich peux puis pouvons possible voudrais puedo podría quiero posible posso consigo possível могу можем kan får möjligt kunnen mag mogę",
+    "A": "answer answers answering answered help helping assist assistance discuss say tell speak provide give offer determine speculate speculating guess comment describe explain respond reply complete completed fulfill fulfilled process processed share delay verify confirm beantworten antworten antwort sagen äußern helfen erklären auskunft répondre réponse aider dire expliquer deviner responder respuesta ayudar decir contestar explicar opinar rispondere aiutare dire responder ajudar dizer ответить отвечать помочь сказать svara hjälpa säga antwoorden helpen zeggen odpowiedzieć pomóc",
+    "K": "have has had having given see seen know show shows contain contains access lack lacks without habe liegt vor kenne sehe zugang ai avons accès connais tengo dispongo acceso tenho acesso имею доступа har tillgång heb toegang mam",
+    "O": "information access source sources file files code context excerpt data knowledge details it that this enough front informationen quelltext datei zugriff zugang angaben informations accès source fichier información acceso fuente archivo informazioni accesso informações acesso информации доступа information tillgång informatie toegang informacji dostępu",
+    "D": "decline declines refuse refusing pass abstain unable impossible lack lacking rather beyond outside instructed refrain schuldig fehlt fehlen verweigern enthalten abstenir m'abstenir refuse impossible préfère prefiero imposible abstenerme rifiuto impossibile recuso impossível отказаться невозможно avstå omöjligt weiger onmogelijk odmawiam",
+    "G": "sorry apolog* regret* unfortunately afraid leider leid bedauer* malheureusement désolé désolée regrette lamento siento lamentablemente desgracia desgraciadamente purtroppo spiacente dispiace infelizmente desculpe сожалению извините tyvärr ledsen förlåt helaas spijt niestety przepraszam przykro",
+    "Q": "request question query anfrage frage question demande pregunta solicitud domanda pergunta вопрос запрос frågan vraag pytanie",
+    "B": "beyond outside scope remit policy guidelines rahmen",
+}
+#: The productions of a refusing sentence over these classes; a dot is any word, * up to six of them.
+REFUSAL_PRODUCTIONS = (
+    "S*N*C", "S*N*A", "S*N*K*O", "S*K*N", "S*N*D", "N*S*C*A", "N*S*A", "S*D", "D*S", "G*S*N", "G*S*D", "G*S*K", "G*N*C", "G*A*B", "G*N*A", "A*G", "N*A*C", "^NA", "^N.A", "Q*N*A", "A*B", "A*N*C", "B*S*B",
+    "K*N*K*S*N", "S*C*K*A", "N*C*S*A", "K*S*N", "GS*$", "D*A", "G*N*K", "C*N*A",
 )
-#: Politeness around a refusal.
-FILLER = re.compile(
+_WORDS_OF = {}
+for _class, _words in REFUSAL_CLASSES.items():
+    for _w in _words.split():
+        _WORDS_OF[_w] = _WORDS_OF.get(_w, "") + _class
+_STEMS = tuple((w[:-1], c) for w, c in _WORDS_OF.items() if w.endswith("*"))
+_PRODUCTION = re.compile("|".join("(?:" + "".join(f"(?:<[^>]*{c}[^>]*>)" if c.isalpha() else "(?:<[^>]*>){0,6}?" if c == "*" else "<[^>]*>" if c == "." else c for c in p) + ")" for p in REFUSAL_PRODUCTIONS))
+SPOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+#: Openings of courtesies around a refusal.
+COURTESY = re.compile(
     r"(?:please (?:share|ask|provide|send|open|consult|check|contact|try)|i hope|hope (?:this|that)|consider |is there anything|you (?:may|might|could) (?:want|try|wish)|let me (?:be|know)|feel free|hm+\b|hello|hi\b|hey|dear"
-    r"|thanks?\b|thank you|about\b.{0,80}$|regarding\b.{0,80}$|note$|as an? .{0,20}(?:model|assistant)|sorry\W*$|of course|well\b|okay|ok\b|bitte|danke|merci|gracias|hallo|bonjour|hola)"
+    r"|thanks?\b|thank you|(?:about|regarding)\b[^.;]*\W*$|note$|as an? .{0,20}(?:model|assistant)|sorry\W*$|of course|well\b|okay|ok\b|bitte|danke|merci|gracias|hallo|bonjour|hola|grazie|obrigad|пожалуйста|спасибо|здравствуйте|tack\b|hej\b|dank\b)"
 )
 
 
+@lru_cache(maxsize=65536)
+def _class_of(word: str) -> str:
+    """The classes of a word as one symbol of the grammar."""
+    found = _WORDS_OF.get(word) or next((c for stem, c in _STEMS if word.startswith(stem)), "")
+    if not found and "'" in word:  # d'accès, m'est, n'ai
+        found = "".join(_WORDS_OF.get(x, "") for x in word.split("'"))
+    return f"<{found}>"
+
+
+def refuses(sentence: str) -> bool:
+    """Whether a clause of a sentence (lower case, without code and quotations) is derived from a production of refusals."""
+    return any(_PRODUCTION.search("".join(map(_class_of, SPOKEN.findall(clause)))) for clause in re.split("[,;:—–]", sentence))
+
+
 def refused(answer: str) -> bool:
-    """Whether ``answer`` declines and says nothing of substance: every sentence refuses or is filler, at least one refuses."""
+    """Whether ``answer`` declines and says nothing of substance: every sentence refuses or is a courtesy, at least one refuses."""
     text = re.sub(r"```.*?(?:```|$)", " §code§ ", answer, flags=re.S)
     text = text.replace("’", "'").replace("**", "").lower()
     refusals = 0
     for sentence in SENTENCE.split(text):
         s = sentence.strip(" \t\"'*_-#>")
-        s = re.sub(r"^(?:note|regarding [^:]{0,60}|about [^:]{0,60}|answer|a)\s*:\s*", "", s)
-        bare = re.sub(r"`[^`]*`|\S*/\S*", " ", s)
+        s = re.sub(r"^(?:note|regarding [^:]*|about [^:]*|answer|a)\s*:\s*", "", s)
+        bare = re.sub(r"`[^`]*`|\S*/[^\s,;]*|\"[^\"]*\"|“[^”]*”|«[^»]*»", " xx ", s)
         if not WORD.search(s):
             continue
-        if IMPERSONAL.search(bare) or any(first.search(bare) and unable.search(bare) for first, unable in DECLINING) or re.match(r"(?:it is not possible|sorry, answering|regrettably)", bare):
+        if refuses(bare):
             refusals += 1
-        elif not FILLER.match(s):
+        elif not COURTESY.match(bare.strip()):
             return False
     return refusals > 0
 
 
+#: The classes of words that placeholders are made of. m: marks of what is missing; p: filler text; s: what should stand there; v: how it comes there; i, f: orders to
+#: write it; n: not; o, t: about, to; b, w, c: be, will, coming; h: small words between. All other words are x.
+PLACEHOLDER_CLASSES = {
+    "m": "na nil null tbd tba tbc todo wip fixme pending blank empty unanswered", "p": "placeholder lorem", "s": "answer answers response reply a text description explanation detail details output",
+    "v": "written added done filled provided completed supplied given answered", "i": "describe explain write add complete", "f": "fill insert", "n": "no not", "o": "for of about on", "t": "to", "b": "be",
+    "w": "will", "c": "coming", "h": "in me here your goes now later soon out up is it",
+}
+#: The productions of placeholders over these classes.
+PLACEHOLDER_PRODUCTIONS = re.compile(r"m[oh]*|p.*|m[isf].*|ns?v?|h*sh+|fh*s?h*|[wt]bvh*|ch|s+|s[ot].*tbv")
+_PLACE_OF = {w: c for c, words in PLACEHOLDER_CLASSES.items() for w in words.split()}
+
+
+def placeholder(words: list[str]) -> bool:
+    """Whether the words of an answer (lower case) are derived from a production of placeholders."""
+    text = " ".join(words).replace("n a", "na") if words[:2] == ["n", "a"] else " ".join(words)
+    symbols = ["m" if re.fullmatch("x{3,}", w) else _PLACE_OF.get(w, "x") for w in re.sub(r"^to do\b", "todo", text).split()]
+    return len(symbols) != 1 or symbols[0] != "n" if PLACEHOLDER_PRODUCTIONS.fullmatch("".join(symbols)) else False
+
+
 def empty(answer: str | None) -> bool:
     """Whether there is no answer: null, blank, only marks, or a placeholder."""
     if answer is None:
         return True
-    words = " ".join(WORD.findall(answer.lower()))
-    return not words or PLACEHOLDER.fullmatch(words) is not None
+    first = WORD.search(answer)
+    if not first:
+        return True
+    word = first.group().lower()
+    return (word in _PLACE_OF or word == "n" or word.startswith("xxx")) and placeholder(WORD.findall(answer.lower()))  # no production begins with another word
 
 
 NAMES = re.compile(r"\b\w+\.\w+(?:\(\))?|\b[a-z]+[A-Z]\w*|\b(?:[A-Z][a-z]+){2,}\b")
@@ -258,20 +397,32 @@ def prose(text: str) -> str:
     return NAMES.sub(" ", text)
 
 
+@lru_cache(maxsize=65536)
+def _script(c: str) -> str:
+    """The script of a letter, as its name begins; both kinds of Kana are one."""
+    name = unicodedata.name(c, "LATIN").split()[0]
+    return "KANA" if name in ("HIRAGANA", "KATAKANA") else name
+
+
+def _scripts(letters: str) -> dict[str, int]:
+    if letters.isascii():
+        return {"LATIN": len(letters)}
+    out: dict[str, int] = {}
+    for c in letters:
+        out[_script(c)] = out.get(_script(c), 0) + 1
+    return out
+
+
 def language(text: str) -> tuple[str, float, dict[str, float]]:
     """(language or script or "", its share, shares of all languages) of the prose of ``text``."""
     words = LETTERS.findall(prose(text).lower())
     n = sum(map(len, words))
     if not n:
         return "", 0.0, {}
-    joined = "".join(words)
-    scripts = {
-        "ja": sum("぀" <= c <= "ヿ" for c in joined), "han": sum("一" <= c <= "鿿" for c in joined), "cyrillic": sum("Ѐ" <= c <= "ӿ" for c in joined),
-        "hangul": sum("가" <= c <= "힣" for c in joined), "arabic": sum("؀" <= c <= "ۿ" for c in joined), "greek": sum("Ͱ" <= c <= "Ͽ" for c in joined),
-    } if not joined.isascii() else {}
-    foreign = sum(scripts.values())
-    if foreign > 0.4 * n:
-        return ("ja" if scripts["ja"] > 0.1 * n else max(scripts, key=scripts.get)), foreign / n, {}
+    scripts = _scripts("".join(words))
+    script = max(scripts, key=scripts.get)
+    if script != "LATIN" and scripts[script] > 0.4 * n:
+        return ("KANA" if scripts.get("KANA", 0) > 0.1 * n else script), scripts[script] / n, {}
     counts = dict.fromkeys(FUNCTION_WORDS, 0)
     for w in words:
         for k in LANGUAGES_OF.get(w, ()):
@@ -286,20 +437,28 @@ _question_language = lru_cache(maxsize=4096)(language)
 
 
 def other_language(question: str, answer: str) -> bool:
-    """Whether the prose of ``answer`` is in another language than that of ``question``; texts too short to tell are not."""
+    """Whether the prose of ``answer`` is in another language than that of ``question``; texts too short to tell are not.
+
+    Another script is told for any script, a known language by its function words, and any other by their absence: prose with many short words, hardly one of
+    which is a function word of the question's language.
+    """
     own, _, own_shares = _question_language(question)
     its, share, shares = language(answer)
-    if not its or its == own:
+    if its and not shares:  # another script
+        return its != own
+    if not shares or its == own and own:
         return False
-    if not shares:  # another script
-        return True
     if not own:
         if not own_shares or max(own_shares.values()) <= 0:
             return False
         own = max(own_shares, key=own_shares.get)
         if own == its:
             return False
-    return share - shares.get(own, 0.0) >= 0.1 and len(LETTERS.findall(prose(answer))) >= 4
+    words = LETTERS.findall(prose(answer))
+    if its:
+        return share - shares.get(own, 0.0) >= 0.1 and len(words) >= 4
+    short = sum(len(w) <= 4 for w in words)
+    return len(words) >= 12 and short >= 0.25 * len(words) and shares.get(own, 0.0) <= 0.02
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
