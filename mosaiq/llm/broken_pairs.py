@@ -439,7 +439,7 @@ _question_language = lru_cache(maxsize=4096)(language)
 def other_language(question: str, answer: str) -> bool:
     """Whether the prose of ``answer`` is in another language than that of ``question``; texts too short to tell are not.
 
-    Another script is told for any script, a known language by its function words, and any other by their absence: prose with many short words, hardly one of
+    Another script is told for any script, a known language by its function words, and any other by their absence: prose with many different short words, hardly one of
     which is a function word of the question's language.
     """
     own, _, own_shares = _question_language(question)
@@ -457,8 +457,8 @@ def other_language(question: str, answer: str) -> bool:
     words = LETTERS.findall(prose(answer))
     if its:
         return share - shares.get(own, 0.0) >= 0.1 and len(words) >= 4
-    short = sum(len(w) <= 4 for w in words)
-    return len(words) >= 12 and short >= 0.25 * len(words) and shares.get(own, 0.0) <= 0.02
+    short = [w for w in words if len(w) <= 4]
+    return len(words) >= 12 and len(short) >= 0.25 * len(words) and len(set(short)) >= 4 and shares.get(own, 0.0) <= 0.02
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
