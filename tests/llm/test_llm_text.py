@@ -92,7 +92,21 @@ export async function readDaemon(flatPanel: string): Promise<Binder> {
     ],
 )
 def test_origins(path, head, want):
-    assert nf.origin(path, head, 60, 2000, nf.library_pattern(["zelfold", "kipdash"])) == want
+    found, keys = nf.origin(path, head, 60, 2000)
+    assert ("third_party" if {"zelfold", "kipdash"} & set(keys) else found) == want
+
+
+def test_the_canonical_layout_is_compared_with_the_original():
+    statements, lines, comments = nf.emitted("a = -1; b(2,\n 3)\nif x { y() } // end\n")
+    assert ["".join(t for _, t in s) for s in statements] == ["a=-1;", "b(2,3)", "ifx{", "y()}", "// end"] and ["".join(x) for x in lines[:3]] == ["w=N;w(N,", "N)", "w w{w()}".replace(" ", "")] and comments == ["// end"]
+    minified = nf.layout("function a(b,c){return b.d(c||1)}var e=f[1],g=!1;e&&(h=i?j:void 0);" * 9)
+    assert minified.expansion > 20 and minified.stretched > 20 and 0.5 < nf.layout(HAND).expansion < 2 and nf.layout(HAND).stretched < 4 and nf.laid_out(nf.layout(HAND)) is None
+    assert nf.laid_out(nf.layout("")) is None and nf.laid_out(nf.layout("\n\n")) is None and nf.laid_out(nf.layout("x" * 400)) is None
+
+
+def test_banners_count_on_any_line_and_in_docstrings():
+    low = "\n" * 20 + "# Code generated by stubforge. DO NOT EDIT.\n" + "def a():\n    return b\n"
+    assert nf.origin("a.py", low, 30, 900)[0] == "generated" and nf.origin("a.py", "# licence\n\"\"\"machine-written, do not edit\"\"\"\nx = 1\n", 30, 900)[0] == "generated"
 
 
 def test_files_table(spark):
