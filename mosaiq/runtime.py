@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 _LOCAL_DIRS: list[str] = []
 _WRITTEN: list[str] = []
+_MOUNTED: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -71,6 +72,12 @@ def local_path(path: str) -> str:
     return path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
 
 
+def is_mounted(spark: SparkSession, path: str) -> bool:
+    """Whether a path, which may have no scheme, lies in a folder of the operating system as Spark resolves it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it again: lineage ends there and survives lost executors.
 
@@ -79,27 +86,32 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mosaiq-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    written(path)
+    if is_mounted(spark, path):
+        written(path)
+    else:
+        _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written(path: str) -> None:
-    """Note a path in the shared folder that this process made. Paths of mounted folders are deleted when the process ends."""
-    if not _WRITTEN:
+    """Note a path in a mounted shared folder that this process made: it is deleted when the process ends."""
+    if not any(_MOUNTED):
         atexit.register(_sweep, os.getpid())
+    _MOUNTED.append(path)
     _WRITTEN.append(path)
 
 
 def _sweep(process: int) -> None:
     if os.getpid() == process:  # not in forked children
-        while _WRITTEN:
-            shutil.rmtree(local_path(_WRITTEN.pop()), ignore_errors=True)
+        while _MOUNTED:
+            shutil.rmtree(local_path(_MOUNTED.pop()), ignore_errors=True)
 
 
 def forget(spark: SparkSession) -> int:
     """Delete the intermediate tables of this process from the shared folder; DataFrames built on them can't be read any more. The number of tables."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     count = len(_WRITTEN)
+    _MOUNTED.clear()
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(conf).delete(path, True)
