@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from mosaiq.llm.arrow_text import text_slices
 from mosaiq.llm.lexicon import Lexicon, merge, read_ranks
 from mosaiq.llm.pretokenize import words
-from mosaiq.runtime import local_path, shared_dir, written
+from mosaiq.runtime import is_mounted, local_path, shared_dir, written
 
 #: Words compiled into the lexicon at most; longer ones than this many bytes are left to merging.
 LEXICON_WORDS, LEXICON_BYTES = 60_000, 48
@@ -100,7 +100,7 @@ def build_lexicon(documents: DataFrame, vocabulary: str, text: str = "text", mos
     entries = {w: merge(w, ranks) for w in (bytes(x) for x in top.column(0).to_pylist())}
     name, shared = f"lexicon-{uuid.uuid4().hex}", shared_dir(documents.sparkSession)
     lexicon = Lexicon.compile(entries)
-    if "://" in shared and not shared.startswith("file:"):  # not a mounted folder: Spark hands the files to every executor
+    if not is_mounted(documents.sparkSession, shared):  # Spark hands the files to every executor
         with tempfile.TemporaryDirectory() as tmp:
             lexicon.save(f"{tmp}/{name}")
             documents.sparkSession.sparkContext.addFile(f"{tmp}/{name}", recursive=True)

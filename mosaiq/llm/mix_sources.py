@@ -39,27 +39,36 @@ def allot(sizes: dict[str, float], weights: dict[str, float], caps: dict[str, in
     return given
 
 
-def poisson_steps(rate: float, cap: int) -> list[float]:
-    """The cumulative probabilities of 0, 1, ... cap - 1 of a Poisson distribution cut off at ``cap`` whose mean is ``rate``."""
+def poisson_steps(rate: float, cap: int) -> tuple[int, list[float]]:
+    """(least, cumulative probabilities of least, least + 1, ...) of a Poisson distribution cut off at ``cap`` whose mean is ``rate``.
+
+    A draw u is ``least`` plus the number of steps that are at most u. Numbers so rare that their probability rounds away have no step, so the list grows with
+    the root of the rate and not with the cap.
+    """
     if rate <= 0 or cap <= 0:
-        return [1.0] * max(cap, 0)
+        return 0, []
     if rate >= cap:
-        return [0.0] * cap
-
-    def steps(lam: float) -> list[float]:
-        p, total, out = math.exp(-lam), 0.0, []
-        for k in range(cap):
-            total += p
+        return cap, []
+
+    def steps(lam: float) -> tuple[int, list[float]]:
+        width = int(12 * math.sqrt(lam) + 60)
+        first, last = max(0, int(lam) - width), min(cap - 1, int(lam) + width)
+        total, out = 0.0, []
+        for k in range(first, last + 1):
+            total += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1))
             out.append(min(1.0, total))
-            p *= lam / (k + 1)
-        return out
+        return min(first, cap), out
+
+    def mean(lam: float) -> float:
+        first, out = steps(lam)
+        return first + sum(1 - x for x in out)
 
     low, high = 0.0, 1.0
-    while sum(1 - x for x in steps(high)) < rate and high < 700:
+    while mean(high) < rate and high < 4 * cap + 100:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
-        low, high = (mid, high) if sum(1 - x for x in steps(mid)) < rate else (low, mid)
+        low, high = (mid, high) if mean(mid) < rate else (low, mid)
     return steps((low + high) / 2)
 
 
@@ -69,10 +78,10 @@ def source_key(column: str) -> F.Column:
     return F.when(bare != "", bare)
 
 
-def mix_sources(sized: DataFrame, targets: DataFrame, percent: float, seed: int = 42, most_sources: int = 100_000) -> DataFrame:
+def mix_sources(sized: DataFrame, targets: DataFrame, percent: float, seed: int = 42) -> DataFrame:
     """(doc_id, source, copy, n_tokens, place): the documents of the mix, each as often as drawn, in a random global order by ``place``.
 
-    ``sized`` is (doc_id, source, n_tokens), ``targets`` is (source, weight, max_repeats) of at most ``most_sources`` rows (else an error). The size aimed at is
+    ``sized`` is (doc_id, source, n_tokens), ``targets`` is (source, weight, max_repeats), a configuration that the driver reads. The size aimed at is
     ``percent`` of all tokens, those of sources without target too. Documents without a target for their source (null or blank names among them) or without
     tokens are left out; targets without documents give nothing, and what they leave is shared by the others. Repeated targets of a source add
     their weights and take the least cap; null weights or caps count as 0. Copies have numbers from 1 to at most the cap.
@@ -83,17 +92,16 @@ def mix_sources(sized: DataFrame, targets: DataFrame, percent: float, seed: int
     wanted = wanted.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("weight").alias("weight"), F.min("cap").alias("cap"))
     sizes = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     whole = sizes.agg(F.sum("tokens")).collect()[0][0] or 0
-    rows = wanted.join(sizes, "source", "left").limit(most_sources + 1).collect()
-    if len(rows) > most_sources:
-        raise ValueError(f"more than {most_sources} sources with a target")
+    # the plan is made by the driver from the targets, a configuration; it meets the documents in an equi-join, broadcast only if its measured size allows
+    rows = wanted.join(sizes, "source", "left").collect()
     size = {r["source"]: float(r["tokens"] or 0) for r in rows}
     caps = {r["source"]: int(r["cap"]) for r in rows}
     given = allot(size, {r["source"]: float(r["weight"]) for r in rows}, caps, whole * percent / 100)
-    plan = [(s, poisson_steps(given[s] / size[s], caps[s])) for s in given if size[s] > 0 and given[s] > 0]
-    steps = spark.createDataFrame(plan, "source string, steps array<double>")
+    plan = [(s, *poisson_steps(given[s] / size[s], caps[s])) for s in given if size[s] > 0 and given[s] > 0]
+    steps = spark.createDataFrame(plan, "source string, least int, steps array<double>")
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
-    drawn = sized.where(F.col("n_tokens") > 0).join(F.broadcast(steps), "source").withColumn("u", unit)  # bounded by most_sources
-    drawn = drawn.withColumn("times", F.expr("size(filter(steps, x -> u >= x))")).where("times > 0")
+    drawn = sized.where(F.col("n_tokens") > 0).join(steps, "source").withColumn("u", unit)
+    drawn = drawn.withColumn("times", F.expr("least + size(filter(steps, x -> u >= x))")).where("times > 0")
     copies = drawn.select("doc_id", "source", F.explode(F.expr("sequence(1, times)")).alias("copy"), "n_tokens")
     copies = copies.withColumn("place", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("copy")))
     return copies.repartitionByRange("place").sortWithinPartitions("place", "doc_id", "copy")

@@ -157,7 +157,9 @@ def pack_items(items: DataFrame, capacity: int, classes: int = 48, large_share:
         out["grp"], out["kind"] = pdf["grp"].iloc[0], str(each)
         return out[["grp", "kind", "size", "lo", "hi", "base", "per"]]
 
-    plan = hist.where("big").groupBy("grp").applyInPandas(large, PLAN)
+    # histograms are small for what their plans cost, so sizes alone would put all groups into one task
+    spread = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    plan = materialise(hist.where("big").repartition(spread, "grp").groupBy("grp").applyInPandas(large, PLAN))
     each = plan.groupBy("grp").agg(F.max(F.col("kind").cast("bigint")).alias("each"))
     big = placed.where("big").alias("b").join(each.alias("e"), F.expr("b.grp <=> e.grp"))
     big = big.select("b.*", F.expr("cast(b.pos div e.each as int)").alias("cls"))
@@ -178,7 +180,7 @@ def pack_items(items: DataFrame, capacity: int, classes: int = 48, large_share:
         out["grp"], out["kind"] = pdf["grp"].iloc[0], "small"
         return out[["grp", "kind", "size", "lo", "hi", "base", "per"]]
 
-    fill = both.groupBy("grp").applyInPandas(small, PLAN)
+    fill = both.repartition(spread, "grp").groupBy("grp").applyInPandas(small, PLAN)
     little = placed.where("not big").alias("s").join(fill.alias("p"), F.expr("s.grp <=> p.grp and s.size = p.size and s.pos >= p.lo and s.pos < p.hi"))
     little = little.select("s.grp", "s.item_id", "s.part", "s.size", F.expr("p.base + (s.pos - p.lo) div p.per").alias("slot"))
     known = little.alias("s").join(gaps.alias("g"), F.expr("s.grp <=> g.grp and s.slot = g.pos"), "left")

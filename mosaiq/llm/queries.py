@@ -89,10 +89,10 @@ long AS (
   UNION ALL SELECT repo, result_id, 'tokens_total', tokens_total, -1.0::DOUBLE FROM one WHERE tokens_total >= 1
   UNION ALL SELECT repo, result_id, 'duration_s', duration_s, -1.0::DOUBLE FROM one WHERE duration_s >= 1e-12 AND NOT isinf(duration_s) AND NOT isnan(duration_s)),
 med AS (SELECT *, median(x) OVER (PARTITION BY repo, score) AS m FROM long),
-mad AS (SELECT *, median(abs(x - m)) OVER (PARTITION BY repo, score) AS d FROM med),
+mad AS (SELECT *, median(abs(x - m)) OVER (PARTITION BY repo, score) AS d, avg(abs(x - m)) OVER (PARTITION BY repo, score) AS e FROM med),
 val AS (
   SELECT result_id, score,
-    1 / (1 + exp(-least(greatest((x - m) / CASE WHEN d > 0 THEN d * 1.4826::DOUBLE ELSE 1.0::DOUBLE END * sign, -30.0::DOUBLE), 30.0::DOUBLE))) AS v FROM mad),
+    1 / (1 + exp(-least(greatest((x - m) / CASE WHEN d > 0 THEN d * 1.4826::DOUBLE WHEN e > 0 THEN e * 1.2533::DOUBLE ELSE 1.0::DOUBLE END * sign, -30.0::DOUBLE), 30.0::DOUBLE))) AS v FROM mad),
 comb AS (SELECT result_id, round(exp(sum(ln(v)) / count(*)), 9) AS combined, bool_or(score = 'score_total') AS graded FROM val GROUP BY result_id)
 SELECT o.repo, o.result_id, coalesce(c.graded, false) AS graded, c.combined,
   CAST(row_number() OVER (PARTITION BY o.repo ORDER BY coalesce(c.graded, false) DESC, c.combined DESC NULLS LAST, o.result_id) AS BIGINT) AS rank

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from mosaiq.runtime import exact_median, latest, match, materialise, ranked
 
-#: Makes the median absolute deviation of a normal distribution its standard deviation.
-MAD_SCALE = 1.4826
+#: Make the median and the mean absolute deviation of a normal distribution its standard deviation.
+MAD_SCALE, MEAN_SCALE = 1.4826, 1.2533
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,8 @@ def squashed(df: DataFrame, by: list[str], key: str, scores: list[Score]) -> Dat
     """(by, key, score, z, value): value in (0, 1) for each measured score of each row.
 
     Null, NaN, infinite values and values below ``least`` (markers) are not measurements: they have no row here and don't take part in
-    the medians. Where the deviation of a group is 0 the scale is 1, so equal values give 0.5.
+    the medians. Where the median deviation of a group is 0, as more than half of its values are equal, the mean deviation takes its place; where that is 0
+too all values are equal and give 0.5. So no scale depends on the unit of a score.
     """
     entries = F.array(*[F.struct(F.lit(s.column).alias("score"), F.col(s.column).cast("double").alias("x")) for s in scores])
     least = F.create_map(*[x for s in scores for x in (F.lit(s.column), F.lit(s.least))])
@@ -43,7 +44,8 @@ def squashed(df: DataFrame, by: list[str], key: str, scores: list[Score]) -> Dat
     long = match(long, exact_median(long, group, "x", [key], "med"), group)
     long = long.withColumn("dev", F.abs(F.col("x") - F.col("med")))
     long = match(long, exact_median(long, group, "dev", [key], "mad"), group)
-    scale = F.when(F.col("mad") > 0, F.col("mad") * MAD_SCALE).otherwise(1.0)
+    long = match(long, long.groupBy(*group).agg(F.avg("dev").alias("mean_dev")), group)
+    scale = F.when(F.col("mad") > 0, F.col("mad") * MAD_SCALE).when(F.col("mean_dev") > 0, F.col("mean_dev") * MEAN_SCALE).otherwise(1.0)
     z = F.least(F.greatest((F.col("x") - F.col("med")) / scale * sign[F.col("score")], F.lit(-30.0)), F.lit(30.0))
     return long.withColumn("z", z).withColumn("value", 1 / (1 + F.exp(-F.col("z")))).select(*by, key, "score", "z", "value")
 

@@ -29,7 +29,8 @@ def plain_ranks(rows):
                 continue
             med = median(have)
             mad = median(abs(x - med) for x in have)
-            scale = mad * rs.MAD_SCALE if mad > 0 else 1.0
+            mean = sum(abs(x - med) for x in have) / len(have)
+            scale = mad * rs.MAD_SCALE if mad > 0 else mean * rs.MEAN_SCALE if mean > 0 else 1.0
             for x in xs:
                 if x[col] is not None:
                     z = max(-30.0, min(30.0, (x[col] - med) / scale * sign))
@@ -55,6 +56,15 @@ def test_no_score_outweighs_by_its_range(spark):
     assert got[8] < got[0]  # the better first score still counts beside an outlier of the other
 
 
+def test_a_unit_has_no_say_where_most_values_are_equal(spark):
+    ranks = []
+    for unit in (1e-6, 1.0, 1e6):
+        rows = [("r", i, float(i % 4), unit * (1.0 if i < 7 else float(i))) for i in range(10)]
+        df = spark.createDataFrame(rows, "repo string, id int, a double, b double")
+        ranks.append([(r.id, r.combined) for r in rs.rank_scores(df, "repo", "id", SCORES, "a").orderBy("rank").collect()])
+    assert ranks[0] == ranks[1] == ranks[2]
+
+
 def test_ranks_of_empty_equal_and_unmeasured(spark):
     schema = "repo string, id int, a double, b double, score string, rank int, combined double"
     assert rs.rank_scores(spark.createDataFrame([], schema), "repo", "id", SCORES, "a").collect() == []
