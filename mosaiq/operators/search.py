@@ -1,11 +1,13 @@
 """A weighted index over units of several types, and ranked search by BM25.
 
 A unit is a row with several text fields of different weight. Weights are whole tenths, so sums are exact in any order. Search takes many
-questions at once: their terms meet the postings in one equi-join, and the best units of each question are kept before the shuffle.
+questions at once: their terms meet the postings in one equi-join, hits are summed before they are shuffled, and the best units of each question are kept.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,7 +59,7 @@ def postings(units: DataFrame) -> DataFrame:
     """
     rows = units.select("uid", "utype", F.explode("fields").alias("f")).where("f.text <> ''")
     rows = terms(rows.select("uid", "utype", F.col("f.tenths").alias("tenths"), F.col("f.text").alias("text")), "text")
-    counted = rows.repartition("uid").groupBy("uid", "utype", "term").agg(F.sum("tenths").alias("tenths"))
+    counted = rows.groupBy("uid", "utype", "term").agg(F.sum("tenths").alias("tenths"))  # summed where a unit is read, before the shuffle
     whole = F.floor(F.sum("tenths").over(Window.partitionBy("uid")) / 10).cast("bigint")
     return counted.withColumn("len", whole)
 
@@ -67,28 +69,52 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def search(postings: DataFrame, questions: DataFrame, k: int, types: list[str] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Postings (uid, utype, term, tenths, len, df) with the frequency of their term, and one row (n, avg_len) of statistics over all units."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def indexed(postings: DataFrame) -> DataFrame:
+    """``postings`` with ``df``, in order of terms, so that readers can pass over those that no question asks for. A frequent term spreads over files by its units."""
+    rows = postings.join(term_frequencies(postings), "term")
+    return rows.repartitionByRange("term", "uid").sortWithinPartitions("term", "uid").select("uid", "utype", "term", "tenths", "len", "df")
+
+
+def statistics(postings: DataFrame) -> DataFrame:
+    """(n, avg_len): how many units there are and their mean length."""
+    lengths = postings.groupBy("uid").agg(F.max("len").alias("len"))
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+
+
+def search(index: Index | DataFrame, questions: DataFrame, k: int, types: list[str] | None = None, min_score: float | None = None) -> DataFrame:
     """(qid, uid, utype, score, rank): the ``k`` best units for each question of (qid, text).
 
     The score is BM25 over the distinct terms of the question, times the root of the share of its known terms that a unit has. ``types`` restricts
     the units that can be found, not the statistics. Scores are rounded to 9 places; ties go to the greater uid. Questions without a known term,
-    null ones among them, find nothing.
+    null ones among them, find nothing, nor do those whose best unit has less than ``min_score``.
     """
-    lengths = postings.groupBy("uid").agg(F.max("len").alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    if isinstance(index, DataFrame):
+        index = Index(index.join(term_frequencies(index), "term"), statistics(index))
     asked = questions.select("qid", F.explode(F.array_distinct(F.expr(tx.tokens("text")))).alias("term"))
-    # only the postings of asked terms are counted and joined
-    asked_for = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    known = asked.join(term_frequencies(asked_for), "term").crossJoin(F.broadcast(stats))  # one row
+    # only the postings of asked terms are joined
+    asked_for = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    frequencies = asked_for.groupBy("term").agg(F.max("df").alias("df"))
+    known = asked.join(frequencies, "term").crossJoin(F.broadcast(index.stats))  # one row
     known = known.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    known = known.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("qid")))
+    known = known.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("qid"))).drop("df")
     found = asked_for if types is None else asked_for.where(F.col("utype").isin(types))
     tf = F.col("tenths") / 10
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     hits = found.join(known, "term").groupBy("qid", "uid", "utype").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("hit"), F.max("known").alias("known"))
     hits = hits.select("qid", "uid", "utype", F.round(F.col("s") * F.sqrt(F.col("hit") / F.col("known")), 9).alias("score"))
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("uid")))
-    return hits.withColumn("rank", best.cast("bigint")).where(F.col("rank") <= k)
+    hits = hits.withColumn("rank", best.cast("bigint")).where(F.col("rank") <= k)
+    if min_score is not None:
+        hits = hits.withColumn("_top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("_top") >= min_score).drop("_top")
+    return hits
 
 
 def _field(text: str, tenths: int) -> str:

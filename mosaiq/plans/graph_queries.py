@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from mosaiq.functions import text as tx
 from mosaiq.operators import imports, links
 from mosaiq.plans import views as v
-from mosaiq.runtime import materialise
 
 D = tx.DUCK
 
 
 def import_statistics(spark: SparkSession, d: str) -> DataFrame:
-    rows = imports.raw_imports(v.files(spark, d))
+    rows = imports.raw_imports(v.stored_files(spark, d))
     return rows.groupBy("repo", "imp").agg(F.count(F.lit(1)).alias("importers"))
 
 
 def import_edges(spark: SparkSession, d: str) -> DataFrame:
-    return imports.import_edges(materialise(v.files(spark, d)))
+    return v.edges(spark, d)
 
 
 def reverse_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -28,42 +27,40 @@ def reverse_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def python_module_edges(spark: SparkSession, d: str) -> DataFrame:
     """The edges of absolute Python imports alone."""
-    files = v.files(spark, d).where("lang = 'python'").withColumn("imports", F.expr("filter(imports, x -> NOT startswith(x, '.'))"))
+    files = v.stored_files(spark, d).where("lang = 'python'").withColumn("imports", F.expr("filter(imports, x -> NOT startswith(x, '.'))"))
     return imports.import_edges(files)
 
 
 def import_degrees(spark: SparkSession, d: str) -> DataFrame:
-    edges = materialise(import_edges(spark, d))
+    edges = v.edges(spark, d)
     out = edges.groupBy(F.col("src").alias("file_id")).agg(F.count(F.lit(1)).alias("out_degree"))
     back = edges.groupBy(F.col("dst").alias("file_id")).agg(F.count(F.lit(1)).alias("in_degree"))
     return out.join(back, "file_id", "full").select("file_id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 
 
 def module_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    files = materialise(v.files(spark, d))
-    return imports.module_dependencies(imports.import_edges(files), files.where("module IS NOT NULL").select("file_id", "repo", "module"))
+    files = v.stored_files(spark, d)
+    return imports.module_dependencies(v.edges(spark, d), files.where("module IS NOT NULL").select("file_id", "repo", "module"))
 
 
 def module_tests(spark: SparkSession, d: str) -> DataFrame:
-    files = materialise(v.files(spark, d))
-    return imports.module_tests(imports.import_edges(files), files)
+    return imports.module_tests(v.edges(spark, d), v.stored_files(spark, d))
 
 
 def link_graph(spark: SparkSession, d: str) -> DataFrame:
-    files = materialise(v.files(spark, d))
-    return links.link_graph(materialise(v.symbols(spark, d)), files, materialise(imports.import_edges(files)))
+    return v.link_graph(spark, d)
 
 
 def link_targets(spark: SparkSession, d: str) -> DataFrame:
-    return links.link_targets(v.symbols(spark, d)).groupBy("repo", "tail").agg(F.count(F.lit(1)).alias("symbols"))
+    return links.link_targets(v.stored_symbols(spark, d)).groupBy("repo", "tail").agg(F.count(F.lit(1)).alias("symbols"))
 
 
 def member_containers(spark: SparkSession, d: str) -> DataFrame:
-    return links.enclosing(v.symbols(spark, d))
+    return links.enclosing(v.stored_symbols(spark, d))
 
 
 def symbol_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    body = links.bodies(v.symbols(spark, d), v.files(spark, d))
+    body = links.bodies(v.stored_symbols(spark, d), v.stored_files(spark, d))
     return body.select("file_id", "i", F.explode(F.array_distinct(F.expr(tx.matches("body", tx.IDENTIFIER, tx.SPARK)))).alias("ident"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import text as tx
-from mosaiq.operators import enrich, imports, links, packs, search, verify
+from mosaiq.operators import enrich, links, packs, search, verify
 from mosaiq.plans import graph_queries as graph
 from mosaiq.plans import views as v
 from mosaiq.runtime import materialise, table
@@ -15,12 +15,12 @@ D = tx.DUCK
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(search.units(v.files(spark, d), v.symbols(spark, d), v.qa(spark, d)))
+    return v.index(spark, d).postings
 
 
 def _hits(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
     """The hits of the stated questions, written once: several operators read them."""
-    return materialise(search.search(materialise(_postings(spark, d)), v.questions(spark, d), k))
+    return materialise(search.search(v.index(spark, d), v.questions(spark, d), k))
 
 
 def index_units(spark: SparkSession, d: str) -> DataFrame:
@@ -29,56 +29,54 @@ def index_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_term_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return search.term_frequencies(_postings(spark, d))
+    return _postings(spark, d).groupBy("term").agg(F.max("df").alias("df"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(materialise(_postings(spark, d)), v.questions(spark, d), 30).select("qid", "uid", "utype", "score", "rank")
+    return search.search(v.index(spark, d), v.questions(spark, d), 30).select("qid", "uid", "utype", "score", "rank")
 
 
 def bm25_typed_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(materialise(_postings(spark, d)), v.questions(spark, d), 10, ["sym"]).select("qid", "uid", "score", "rank")
+    return search.search(v.index(spark, d), v.questions(spark, d), 10, ["sym"]).select("qid", "uid", "score", "rank")
 
 
 def file_score_blend(spark: SparkSession, d: str) -> DataFrame:
-    return packs.file_scores(_hits(spark, d, 60), v.symbols(spark, d), v.qa(spark, d), v.files(spark, d))
+    return packs.file_scores(_hits(spark, d, 60), v.stored_symbols(spark, d), v.qa(spark, d), v.stored_files(spark, d))
 
 
 def symbol_score_blend(spark: SparkSession, d: str) -> DataFrame:
-    return packs.symbol_scores(_hits(spark, d), v.symbols(spark, d), v.qa(spark, d)).select("qid", "file_id", "i", "score")
+    return packs.symbol_scores(_hits(spark, d), v.stored_symbols(spark, d), v.qa(spark, d)).select("qid", "file_id", "i", "score")
 
 
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
     """Of the hits of each question, in order, those whose names fit a budget of 60 tokens."""
-    hits = search.search(materialise(_postings(spark, d)), v.questions(spark, d), 40, ["sym"])
-    s = v.symbols(spark, d).select(F.concat(F.lit("sym:"), "file_id", F.lit(":"), "i").alias("uid"), F.expr(f"CAST({tx.estimated_tokens('concat(name, path)')} AS BIGINT)").alias("tokens"))
+    hits = search.search(v.index(spark, d), v.questions(spark, d), 40, ["sym"])
+    s = v.stored_symbols(spark, d).select(F.concat(F.lit("sym:"), "file_id", F.lit(":"), "i").alias("uid"), F.expr(f"CAST({tx.estimated_tokens('concat(name, path)')} AS BIGINT)").alias("tokens"))
     return packs.greedy(hits.join(s, "uid").select("qid", F.col("rank").alias("ord"), F.col("uid").alias("key"), "tokens"), 60)
 
 
 def seed_nms(spark: SparkSession, d: str) -> DataFrame:
-    return packs.seeds(packs.symbol_scores(_hits(spark, d), v.symbols(spark, d), v.qa(spark, d)), 4)
+    return packs.seeds(packs.symbol_scores(_hits(spark, d), v.stored_symbols(spark, d), v.qa(spark, d)), 4)
 
 
 def link_score_expand(spark: SparkSession, d: str) -> DataFrame:
-    files, symbols = materialise(v.files(spark, d)), materialise(v.symbols(spark, d))
+    symbols = v.stored_symbols(spark, d)
     seeds = packs.seeds(packs.symbol_scores(_hits(spark, d), symbols, v.qa(spark, d)), 4)
-    return packs.linked(materialise(seeds), links.link_graph(symbols, files, materialise(imports.import_edges(files))), symbols, v.questions(spark, d), 12)
+    return packs.linked(materialise(seeds), v.link_graph(spark, d), symbols, v.questions(spark, d), 12)
 
 
 def link_pack(spark: SparkSession, d: str) -> DataFrame:
-    files, symbols = v.files(spark, d), v.symbols(spark, d)
-    files, symbols = materialise(files), materialise(symbols)
-    graph = materialise(links.link_graph(symbols, files, materialise(imports.import_edges(files))))
-    return packs.link_pack(_hits(spark, d), v.questions(spark, d), symbols, v.qa(spark, d), files, graph, links.definitions(symbols))
+    files, symbols = v.stored_files(spark, d), v.stored_symbols(spark, d)
+    return packs.link_pack(_hits(spark, d), v.questions(spark, d), symbols, v.qa(spark, d), files, v.link_graph(spark, d), links.definitions(symbols))
 
 
 def pointer_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packs.pointer_pack(_hits(spark, d, 80), v.symbols(spark, d), v.qa(spark, d), v.files(spark, d))
+    return packs.pointer_pack(_hits(spark, d, 80), v.stored_symbols(spark, d), v.qa(spark, d), v.stored_files(spark, d))
 
 
 def full_pack(spark: SparkSession, d: str) -> DataFrame:
     """(qid, ord, key, tokens, text): answers, files with their symbols and a module within 2000 tokens, and excerpts of source within 1800."""
-    files, symbols = materialise(v.files(spark, d)), materialise(v.symbols(spark, d))
+    files, symbols = v.stored_files(spark, d), v.stored_symbols(spark, d)
     return packs.full_pack(_hits(spark, d, 60), v.questions(spark, d), symbols, v.qa(spark, d), files)
 
 
@@ -91,7 +89,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     own = F.expr("CASE utype WHEN 'file' THEN CAST(substr(uid, 6) AS BIGINT) WHEN 'sym' THEN CAST(split(uid, ':')[1] AS BIGINT) END")
     tops = hits.withColumn("file_id", own).where("file_id IS NOT NULL").groupBy("qid", "file_id").agg(F.min("rank").alias("r"))
     tops = tops.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("r"))).where("n <= 8")
-    more = tops.join(v.symbols(spark, d).where("kind <> 'section' OR kind IS NULL").select("file_id", "i"), "file_id")
+    more = tops.join(v.stored_symbols(spark, d).where("kind <> 'section' OR kind IS NULL").select("file_id", "i"), "file_id")
     more = more.select("qid", F.concat(F.lit("sym:"), "file_id", F.lit(":"), "i").alias("cid"), (F.lit(1000) + F.col("n") * 100000 + F.col("i")).cast("bigint").alias("pos"))
     rows = first.unionByName(more).groupBy("qid", "cid").agg(F.min("pos").alias("pos"))
     order = F.row_number().over(Window.partitionBy("qid").orderBy("pos", "cid")).cast("bigint")
@@ -110,22 +108,22 @@ def symbol_where(spark: SparkSession, d: str) -> DataFrame:
     """(want, file_id, i, kind, exact): the symbols of every wanted name, by full name or last part; wanted are the names that answers' references cite."""
     refs = v.qa(spark, d).select(F.explode("refs").alias("ref")).where("ref LIKE '%::%'").select(F.regexp_extract("ref", r"::(.+)$", 1).alias("want")).distinct()
     refs = refs.withColumn("last", F.expr(tx.last_part("want")))
-    s = v.symbols(spark, d).where("name IS NOT NULL").select("file_id", "i", "name", "kind", F.expr(tx.last_part("name")).alias("last"))
+    s = v.stored_symbols(spark, d).where("name IS NOT NULL").select("file_id", "i", "name", "kind", F.expr(tx.last_part("name")).alias("last"))
     return refs.join(s, "last").select("want", "file_id", "i", "kind", (F.col("name") == F.col("want")).alias("exact"))
 
 
 def file_card(spark: SparkSession, d: str) -> DataFrame:
     """(file_id, path, lines, symbols, map): each file with how many symbols it has and the first 80 with their spans."""
-    s = v.symbols(spark, d).withColumn("line", F.expr(f"concat({tx.span('start_line', 'end_line')}, ' ', coalesce(name, ''))"))
+    s = v.stored_symbols(spark, d).withColumn("line", F.expr(f"concat({tx.span('start_line', 'end_line')}, ' ', coalesce(name, ''))"))
     from pyspark.sql.window import Window
 
     pos = F.row_number().over(Window.partitionBy("file_id").orderBy("i"))
     rows = s.withColumn("n", pos).groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"), F.array_join(F.expr("transform(array_sort(collect_list(CASE WHEN n <= 80 THEN struct(n, line) END)), x -> x.line)"), "; ").alias("map"))
-    return v.files(spark, d).select("file_id", "path", "lines").join(rows, "file_id")
+    return v.stored_files(spark, d).select("file_id", "path", "lines").join(rows, "file_id")
 
 
 def module_card(spark: SparkSession, d: str) -> DataFrame:
-    f = v.files(spark, d).where("module IS NOT NULL")
+    f = v.stored_files(spark, d).where("module IS NOT NULL")
     q = v.qa(spark, d).where("module IS NOT NULL").groupBy("repo", "module").agg(F.count(F.lit(1)).alias("answers"))
     rows = f.groupBy("repo", "module").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.count_if("is_test").alias("tests"), F.min("path").alias("first_path"))
     return rows.join(q, ["repo", "module"], "left").withColumn("answers", F.coalesce("answers", F.lit(0)))
@@ -133,7 +131,7 @@ def module_card(spark: SparkSession, d: str) -> DataFrame:
 
 def reference_verify(spark: SparkSession, d: str) -> DataFrame:
     refs = v.qa(spark, d).select("qa_id", "repo", F.posexplode("refs").alias("pos", "ref")).where("ref IS NOT NULL")
-    return verify.resolve(refs, v.symbols(spark, d), v.files(spark, d)).select("qa_id", "pos", "ref", "resolved")
+    return verify.resolve(refs, v.stored_symbols(spark, d), v.stored_files(spark, d)).select("qa_id", "pos", "ref", "resolved")
 
 
 def citation_ratio(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +141,7 @@ def citation_ratio(spark: SparkSession, d: str) -> DataFrame:
 def inline_annotate(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("doc_id IS NOT NULL")
     texts = docs.select(F.col("doc_id").alias("key"), F.lower(F.trim("source")).alias("repo"), "text")
-    return verify.annotate(texts, v.symbols(spark, d), v.files(spark, d)).select("key", F.sha2("annotated", 256).alias("annotated_sha"), F.length("annotated").alias("length"))
+    return verify.annotate(texts, v.stored_symbols(spark, d), v.stored_files(spark, d)).select("key", F.sha2("annotated", 256).alias("annotated_sha"), F.length("annotated").alias("length"))
 
 
 def json_salvage(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +151,7 @@ def json_salvage(spark: SparkSession, d: str) -> DataFrame:
 
 def enrichment_jobs(spark: SparkSession, d: str) -> DataFrame:
     """(key, answer): the stub's answer for one prompt a module."""
-    jobs = v.files(spark, d).where("module IS NOT NULL").groupBy("repo", "module").agg(F.sum("lines").alias("lines"))
+    jobs = v.stored_files(spark, d).where("module IS NOT NULL").groupBy("repo", "module").agg(F.sum("lines").alias("lines"))
     jobs = jobs.select(F.concat_ws("/", "repo", "module").alias("key"), F.concat(F.lit("Describe "), "module", F.lit(" with "), F.col("lines").cast("string"), F.lit(" lines")).alias("prompt"))
     return enrich.complete(jobs).select("key", "prompt", "answer")
 

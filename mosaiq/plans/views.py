@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.operators import corpus
-from mosaiq.runtime import table
+from mosaiq.operators import corpus, imports, links, search
+from mosaiq.runtime import cached, materialise, table
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,39 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return qa(spark, d).where("qa_id % 100 = 0").select(F.col("qa_id").alias("qid"), F.col("q").alias("text"))
 
 
+def _inputs(d: str, *names: str) -> list[str]:
+    return [f"{d}/{n}.parquet" for n in names]
+
+
+def stored_files(spark: SparkSession, d: str) -> DataFrame:
+    """The current files, written once for all queries over the same input."""
+    table(spark, d, "files")  # ships the package
+    return cached(spark, "files", _inputs(d, "files"), lambda: files(spark, d))
+
+
+def stored_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct symbols, written once."""
+    return cached(spark, "symbols", _inputs(d, "symbols"), lambda: symbols(spark, d))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """The import edges, written once."""
+    return cached(spark, "edges", _inputs(d, "files"), lambda: imports.import_edges(stored_files(spark, d)))
+
+
+def link_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The link graph, written once."""
+    return cached(spark, "links", _inputs(d, "files", "symbols"), lambda: links.link_graph(stored_symbols(spark, d), stored_files(spark, d), edges(spark, d)))
+
+
+def index(spark: SparkSession, d: str) -> search.Index:
+    """The index over files, symbols, modules and answers, written once."""
+    of = _inputs(d, "files", "symbols", "qa")
+    units = lambda: search.units(stored_files(spark, d), stored_symbols(spark, d), qa(spark, d))
+    postings = cached(spark, "postings", of, lambda: search.indexed(materialise(search.postings(units()))))
+    return search.Index(postings, cached(spark, "statistics", of, lambda: search.statistics(postings)))
+
+
 QUESTIONS_SQL = "questions AS (SELECT qa_id AS qid, q AS text FROM qa_now WHERE qa_id % 100 = 0)"
 F_SQL, S_SQL, Q_SQL, I_SQL = corpus.FILES_SQL, corpus.SYMBOLS_SQL, corpus.QA_SQL, corpus.IMPORTS_SQL
 

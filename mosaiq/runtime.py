@@ -7,11 +7,13 @@ folder that all executors share (``spark.checkpoint.dir``).
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ from pyspark.sql.window import Window
 _LOCAL_DIRS: list[str] = []
 _WRITTEN: list[str] = []
 _MOUNTED: list[str] = []
+_CACHED: list[str] = []
+#: Part of the stamp of derived tables: a change of what they hold must change it.
+VERSION = "2"
 
 
 def ship(spark: SparkSession) -> None:
@@ -72,6 +77,37 @@ def local_path(path: str) -> str:
     return path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
 
 
+def input_stamp(spark: SparkSession, paths: list[str]) -> str:
+    """A hash of the names, sizes and times of all files below ``paths``: it changes when an input is written again."""
+    conf, seen = spark.sparkContext._jsc.hadoopConfiguration(), hashlib.sha256()
+    for path in sorted(paths):
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = there.getFileSystem(conf)
+        seen.update(fs.makeQualified(there).toString().encode())
+        files = fs.listFiles(there, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        seen.update("\n".join(sorted(found)).encode())
+    return seen.hexdigest()[:24]
+
+
+def cached(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The derived table ``name`` of ``inputs``, written once into the shared folder under a stamp of the inputs and read from there afterwards.
+
+    A table counts as written only with the mark that Spark's committer leaves last, so a crash leaves nothing that would be read. Where an input changes the
+    stamp does too, and the table is built again; later processes find it in a shared folder that stays.
+    """
+    stamp = hashlib.sha256(f"{VERSION} {name} {input_stamp(spark, inputs)}".encode()).hexdigest()[:24]
+    path = f"{shared_dir(spark)}/mosaiq-{name}-{stamp}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        build().write.mode("overwrite").parquet(path)
+        _CACHED.append(path)
+    return spark.read.parquet(path)
+
+
 def is_mounted(spark: SparkSession, path: str) -> bool:
     """Whether a path, which may have no scheme, lies in a folder of the operating system as Spark resolves it."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -110,8 +146,10 @@ def _sweep(process: int) -> None:
 def forget(spark: SparkSession) -> int:
     """Delete the intermediate tables of this process from the shared folder; DataFrames built on them can't be read any more. The number of tables."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    count = len(_WRITTEN)
+    _WRITTEN.extend(_CACHED)
+    _CACHED.clear()
     _MOUNTED.clear()
+    count = len(_WRITTEN)
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(conf).delete(path, True)
