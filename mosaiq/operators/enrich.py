@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Errors that trying again doesn't help.
+ACCOUNT_LIMIT = re.compile(r"(?=.*limit)(?=.*(?:usage|spend))", re.I | re.S)
 Model = Callable[[list[str]], list[str]]
 
 
@@ -20,7 +25,7 @@ def stub(prompts: list[str]) -> list[str]:
 
 def complete(jobs: DataFrame, model: Model = stub, batch: int = 32, tries: int = 4, wait_s: float = 5.0) -> DataFrame:
     """``jobs`` (key, prompt) with ``answer`` and ``error``: the model is asked in batches of similar length; a batch that fails is tried again after a growing
-    pause, and after ``tries`` its rows carry the error. Limits of an account (an error that says so) aren't tried again. Null prompts get a null answer.
+    pause, and after ``tries`` its rows carry the error. Limits of an account (usage or spend, as the error says) aren't tried again, those of a rate are. Null prompts get a null answer.
     """
     kind = dict(jobs.dtypes)["key"]
 
@@ -37,7 +42,7 @@ def complete(jobs: DataFrame, model: Model = stub, batch: int = 32, tries: int =
                             answers[i] = text
                         break
                     except Exception as e:  # noqa: BLE001
-                        if k + 1 == tries or "limit" in str(e).lower():
+                        if k + 1 == tries or ACCOUNT_LIMIT.search(str(e)):
                             for i in part:
                                 errors[i] = str(e)[:200]
                             break
@@ -47,17 +52,38 @@ def complete(jobs: DataFrame, model: Model = stub, batch: int = 32, tries: int =
     return jobs.select("key", "prompt").mapInPandas(run, f"key {kind}, prompt string, answer string, error string")
 
 
-def salvage(text: str = "answer") -> str:
-    """The JSON in a model's answer as an expression: without code fences, from the first bracket to the last, without trailing commas; null if there is none."""
-    bare = f"regexp_replace({text}, r'```[a-z]*', '')"
-    inner = f"regexp_extract({bare}, r'(?s)([\\[{{].*[\\]}}])', 1)"
-    return f"nullif(regexp_replace({inner}, r',\\s*([\\]}}])', '$1'), '')"
+def first_json(text: str | None) -> str | None:
+    """The first JSON object or array of a text, as it stands there without trailing commas: inside its first code fence where there is one; null if there is none."""
+    if not text:
+        return None
+    fence = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
+    inner = fence.group(1) if fence else text
+    start = re.search(r"[\[{]", inner)
+    if not start:
+        return None
+    rest = inner[start.start() :]
+    for candidate in (rest, re.sub(r",(\s*[}\]])", r"\1", rest)):
+        try:
+            return candidate[: json.JSONDecoder().raw_decode(candidate)[1]]
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
+def salvage(text: str = "answer") -> F.Column:
+    """:func:`first_json` of a column. Only texts with a bracket leave the engine, as finding where a value ends needs a parser."""
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(first_json, na_action="ignore").astype(object)
+
+    return F.when(F.col(text).rlike(r"[\[{]"), decode(text))
 
 
 def cards(answers: DataFrame, jobs: DataFrame) -> DataFrame:
     """File cards from answers (key, answer with JSON) and jobs (key, file_id, part): parts in order, the purpose of the first, summaries joined, lists one after the other."""
     schema = "purpose string, summary string, facts array<string>, gotchas array<string>, questions array<string>"
-    rows = jobs.join(answers.select("key", F.from_json(F.expr(salvage()), schema).alias("c")), "key", "left")
+    rows = jobs.join(answers.select("key", F.from_json(salvage(), schema).alias("c")), "key", "left")
     parts = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("part", "c"))).alias("ps"))
     flat = lambda f: F.expr(f"flatten(transform(ps, p -> coalesce(p.c.{f}, array())))").alias(f)
     return parts.select("file_id", F.expr("coalesce(ps[0].c.purpose, '')").alias("purpose"), F.expr("array_join(transform(ps, p -> coalesce(p.c.summary, '')), ' ')").alias("summary"), flat("facts"), flat("gotchas"), flat("questions"))
@@ -68,16 +94,36 @@ def question_count(lines: str = "lines", per_kloc: int = 14) -> str:
     return f"greatest(6, least(40, CAST(bround({lines} / 1000D * {per_kloc}) AS INT)))"
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, vec_id, similarity, rank): the ``k`` nearest of (vec_id, v) for each of (qid, q) by cosine, exactly; the queries are a stated set, so every vector meets every
-    query in blocks, and only the best of each block go on. A null or zero vector is near nothing."""
-    dot = lambda a, b: F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)")
-    unit = lambda df, c: df.withColumn("n", F.sqrt(dot(c, c))).where("n > 0")
-    v = unit(vectors.where("v IS NOT NULL"), "v").select("vec_id", "v", F.col("n").alias("nv"))
-    q = unit(queries.where("q IS NOT NULL"), "q").select("qid", "q", F.col("n").alias("nq"))
-    pairs = v.join(q, F.lit(True))
-    sim = F.round(dot("v", "q") / (F.col("nv") * F.col("nq")), 6)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """(qid, vec_id, similarity, rank): the ``k`` nearest of (vec_id, v) for each of (qid, q) by cosine, exactly; ties go to the smaller id. A null or zero vector is near nothing.
+
+    The queries are a stated set, so every block of ``block`` vectors meets every block of queries in one matrix product, and only the ``k`` best of each block go on.
+    """
+
+    def blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
+        rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
+        # rows of a partition are numbered, so that a block never holds more than it may
+        number = F.expr(f"monotonically_increasing_id() div {block}")
+        return rows.withColumn("_b", number).groupBy("_b").agg(F.collect_list("id").alias(f"{key}s"), F.flatten(F.collect_list("x")).alias(f"{vector}s")).drop("_b")
+
+    kinds = dict(vectors.dtypes)["vec_id"], dict(queries.dtypes)["qid"]
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for ids, vs, qids, qs in zip(pdf["vec_ids"], pdf["vs"], pdf["qids"], pdf["qs"]):
+                v, q = np.asarray(vs, np.float64).reshape(len(ids), -1), np.asarray(qs, np.float64).reshape(len(qids), -1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sim = np.round((q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]), 6)
+                sim[~np.isfinite(sim)] = -np.inf
+                ids = np.asarray(ids)
+                order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
+                near = np.take_along_axis(sim, order, 1)
+                rows = pd.DataFrame({"qid": np.repeat(np.asarray(qids), order.shape[1]), "vec_id": ids[order].ravel(), "similarity": near.ravel()})
+                yield rows[np.isfinite(rows["similarity"])]
+
+    pairs = blocks(vectors, "vec_id", "v").join(blocks(queries, "qid", "q"), F.lit(True))
+    found = pairs.select("vec_ids", "vs", "qids", "qs").mapInPandas(best, f"qid {kinds[1]}, vec_id {kinds[0]}, similarity double")
     from pyspark.sql.window import Window
 
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "vec_id"))
-    return pairs.select("qid", "vec_id", sim.alias("similarity")).withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)

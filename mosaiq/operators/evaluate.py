@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import builtins
+import keyword
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,11 +89,19 @@ def recall(wanted: DataFrame, got: DataFrame) -> DataFrame:
     return out.withColumn("recall", F.round(F.col("found") / F.col("wanted"), 6))
 
 
+#: Names that tell no project apart, besides what the language itself defines.
+COMMON_NAMES = """self cls args kwargs main setup test tests conftest init name value data path file key items keys values update copy get set run add pop index close open read write load dump
+loads dumps call wrapper decorator check process result response request session config app json utils helpers types typing globals logging views debug testing version docs examples src
+lib""".split()
+RESERVED_NAMES = sorted({*dir(builtins), *keyword.kwlist, *sys.stdlib_module_names, *COMMON_NAMES})
+
+
 def distinctive(names: DataFrame) -> DataFrame:
-    """The names (name) that tell a project apart: not dunder, four or more characters, and two words, a capital or seven characters."""
+    """The names (name) that tell a project apart: not dunder nor reserved, four or more characters, and two words, a capital or seven characters."""
     core = "regexp_replace(name, '^_+|_+$', '')"
     words = f"size(filter(split(regexp_replace({core}, '([a-z0-9])([A-Z])', '$1_$2'), '_'), p -> p <> ''))"
-    return names.where(f"NOT startswith(name, '__') AND length({core}) >= 4 AND ({words} >= 2 OR {core} RLIKE '^[A-Z]' OR length({core}) >= 7)").distinct()
+    free = ~F.expr(core).isin(RESERVED_NAMES) & ~F.lower(F.expr(core)).isin(RESERVED_NAMES)
+    return names.where(free).where(f"NOT startswith(name, '__') AND length({core}) >= 4 AND ({words} >= 2 OR {core} RLIKE '^[A-Z]' OR length({core}) >= 7)").distinct()
 
 
 def rename_map(names: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def import_edges(files: DataFrame) -> DataFrame:
     absolute = absolute.select("repo", "src", "imp", F.expr("explode(transform(sequence(1, size(parts)), k -> struct(k, array_join(slice(parts, 1, k), '.') AS key)))").alias("p"))
     absolute = absolute.select("repo", "src", "imp", "p.k", "p.key").join(modules, ["repo", "key"])
     edges = edges.unionByName(_first(absolute, [F.desc("k")]).select("src", F.col("best.dst").alias("dst")))
-    crate = imps.where("lang = 'rust' AND imp LIKE 'crate::%'").withColumn("parts", F.expr("slice(split(imp, '::'), 2, 1000)"))
+    crate = imps.where("lang = 'rust' AND imp LIKE 'crate::%'").withColumn("parts", F.expr("slice(split(imp, '::'), 2, size(split(imp, '::')))"))
     crate = crate.select("repo", "src", "imp", F.expr("explode(flatten(transform(sequence(1, size(parts)), k -> array(struct(k, 0 AS r, array_join(slice(parts, 1, k), '/') AS key), struct(k, 1 AS r, concat('src/', array_join(slice(parts, 1, k), '/')) AS key)))))").alias("p"))
     crate = crate.select("repo", "src", "imp", "p.*").join(by_stem.select("repo", "key").distinct(), ["repo", "key"])
     crate = _first(crate, [F.desc("k"), F.desc("r")]).select("repo", "src", "key")
@@ -100,7 +100,7 @@ def import_edges(files: DataFrame) -> DataFrame:
     rest = c.join(nodes.select("repo", F.col("to").alias("key")).distinct(), ["repo", "key"], "left_anti")
     # the nearest is the shortest path below the deepest folder that both share: folders are keys, so a frequent name meets no pairs
     wanted = rest.select("repo", "imp").distinct()
-    ends = nodes.select("repo", "dst", "to", F.expr("explode(transform(sequence(1, size(split(`to`, '/'))), k -> array_join(slice(split(`to`, '/'), k, 1000), '/')))").alias("imp"))
+    ends = nodes.select("repo", "dst", "to", F.expr("explode(transform(sequence(1, size(split(`to`, '/'))), k -> array_join(slice(split(`to`, '/'), k, size(split(`to`, '/'))), '/')))").alias("imp"))
     below = F.expr("explode(transform(sequence(0, size(split({0}, '/')) - 1), k -> struct(k AS depth, array_join(slice(split({0}, '/'), 1, k), '/') AS folder)))".format("`to`"))
     best = ends.join(wanted, ["repo", "imp"]).select("repo", "imp", "dst", "to", below.alias("a"))
     best = best.groupBy("repo", "imp", "a.folder").agg(F.min(F.struct(F.length("to"), "to", "dst")).alias("best"))

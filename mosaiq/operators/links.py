@@ -5,6 +5,7 @@ All range joins carry the file as an equi-key, so none compares symbols of diffe
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,19 +60,39 @@ def link_graph(symbols: DataFrame, files: DataFrame, edges: DataFrame) -> DataFr
 
 
 def enclosing(symbols: DataFrame) -> DataFrame:
-    """(file_id, i, qualified): functions and methods without a dot in their name, with the names of all containers around them, inner ones first."""
-    inner = symbols.where("kind IN ('method', 'function') AND NOT contains(name, '.')").select("file_id", "i", "name", "start_line", "end_line")
-    outer = symbols.where("kind IN ('class', 'impl', 'type', 'module')").select("file_id", F.col("name").alias("c"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.col("i").alias("ci"))
-    pairs = inner.join(outer, "file_id").where("a < start_line AND end_line <= b")
-    names = pairs.groupBy("file_id", "i", "name").agg(F.array_sort(F.collect_list(F.struct("a", "ci", "c"))).alias("cs"))
-    return names.select("file_id", "i", F.concat_ws(".", F.array_join("cs.c", "."), "name").alias("qualified"))
+    """(file_id, i, qualified): functions and methods without a dot in their name, with the names of all containers around them, inner ones first.
+
+    One sweep over the symbols of a file in order of their lines, with a stack of the open containers; files without both kinds of symbols aren't looked at.
+    """
+    inner = F.col("kind").isin("method", "function") & ~F.contains("name", F.lit("."))
+    rows = symbols.where("name IS NOT NULL AND start_line IS NOT NULL").withColumn("inner", F.coalesce(inner, F.lit(False)))
+    rows = rows.withColumn("outer", F.coalesce(F.col("kind").isin("class", "impl", "type", "module"), F.lit(False))).where("inner OR outer")
+    both = rows.groupBy("file_id").agg(F.max("inner").alias("a"), F.max("outer").alias("b")).where("a AND b").select("file_id")
+    rows = rows.join(both, "file_id", "left_semi").select("file_id", "i", "name", "start_line", F.coalesce("end_line", "start_line").alias("end_line"), "inner", "outer")
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, open_ = [], []
+        for r in pdf.sort_values(["start_line", "i"]).itertuples(index=False):
+            open_ = [c for c in open_ if c[1] >= r.start_line]
+            around = [c for c in open_ if c[0] < r.start_line and r.end_line <= c[1]]
+            if r.inner and around:
+                out.append((r.file_id, r.i, ".".join([c[2] for c in reversed(around)] + [r.name])))
+            if r.outer:
+                open_.append((r.start_line, r.end_line, r.name))
+        return pd.DataFrame(out, columns=["file_id", "i", "qualified"])
+
+    return rows.groupBy("file_id").applyInPandas(sweep, "file_id bigint, i int, qualified string")
 
 
 def sections(headings: DataFrame) -> DataFrame:
-    """(file_id, i, start_line, end_line) for headings (file_id, i, line, level, lines): a section ends before the next of its level or above."""
-    later = headings.select("file_id", F.col("line").alias("next"), F.col("level").alias("above"))
-    pairs = headings.join(later, "file_id", "left").withColumn("end", F.when((F.col("next") > F.col("line")) & (F.col("above") <= F.col("level")), F.col("next") - 1))
-    return pairs.groupBy("file_id", "i").agg(F.max("line").alias("start_line"), F.coalesce(F.min("end"), F.max("lines")).alias("end_line"))
+    """(file_id, i, start_line, end_line) for headings (file_id, i, line, level, lines): a section ends before the next of its level or above.
+
+    For each of the three levels a window looks for the next heading of that level or above, so no heading meets another in a join.
+    """
+    after = Window.partitionBy("file_id").orderBy("line", "i").rowsBetween(1, Window.unboundedFollowing)
+    following = [F.min(F.when(F.col("level") <= k, F.col("line"))).over(after) for k in (1, 2, 3)]
+    end = F.when(F.col("level") == 1, following[0]).when(F.col("level") == 2, following[1]).otherwise(following[2]) - 1
+    return headings.select("file_id", "i", F.col("line").alias("start_line"), F.coalesce(end, "lines").alias("end_line"))
 
 
 def definitions(symbols: DataFrame) -> DataFrame:

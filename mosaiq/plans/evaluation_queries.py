@@ -82,9 +82,9 @@ pairs AS (SELECT o.* FROM one o JOIN arms USING (repo) QUALIFY count(*) OVER (PA
 based AS (SELECT p.*, b.total AS base FROM pairs p LEFT JOIN pairs b ON b.repo = p.repo AND b.k = p.k AND b.arm = 'baseline'),
 report AS (SELECT repo, arm, count(*) AS questions, """ + ", ".join(f"round(avg(coalesce({c}, 0)), 9) AS mean_{c}" for c in ("total", "correctness", "tokens", "cost", "turns", "duration_s")) + """,
   CAST(count(*) FILTER (total > base) AS BIGINT) AS wins, CAST(count(*) FILTER (total = base) AS BIGINT) AS ties, CAST(count(*) FILTER (total < base) AS BIGINT) AS losses FROM based GROUP BY ALL)"""
-_NAMES = """names AS (SELECT DISTINCT string_split(name, '.')[-1] AS name FROM symbols_one WHERE name IS NOT NULL AND (kind <> 'section' OR kind IS NULL)),
+_NAMES = f"""names AS (SELECT DISTINCT string_split(name, '.')[-1] AS name FROM symbols_one WHERE name IS NOT NULL AND (kind <> 'section' OR kind IS NULL)),
 cores AS (SELECT name, regexp_replace(name, '^_+|_+$', '', 'g') AS core FROM names),
-special AS (SELECT name FROM cores WHERE NOT starts_with(name, '__') AND length(core) >= 4
+special AS (SELECT name FROM cores WHERE core NOT IN ({", ".join(f"'{x}'" for x in ev.RESERVED_NAMES)}) AND lower(core) NOT IN ({", ".join(f"'{x}'" for x in ev.RESERVED_NAMES)}) AND NOT starts_with(name, '__') AND length(core) >= 4
   AND (len(list_filter(string_split(regexp_replace(core, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '_'), lambda p: p <> '')) >= 2 OR regexp_matches(core, '^[A-Z]') OR length(core) >= 7))"""
 _RECALL = v.with_(v.F_SQL, v.S_SQL, v.Q_SQL, search.UNITS_SQL, search.POSTINGS_SQL, v.QUESTIONS_SQL, search.search_sql(30)) + """, wanted AS (SELECT DISTINCT q.key, f.file_id AS item FROM (
     SELECT qa_id AS key, repo, unnest(regexp_extract_all(coalesce(a, ''), '[A-Za-z0-9_./-]+\\.[A-Za-z0-9]+')) AS path FROM qa_now WHERE repo IS NOT NULL AND qa_id % 100 = 0) q JOIN files_now f ON f.repo = q.repo AND f.path = q.path),

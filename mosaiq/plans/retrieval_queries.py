@@ -145,7 +145,7 @@ def inline_annotate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_salvage(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.expr(enrich.salvage("text")).alias("json")).where("json IS NOT NULL")
+    rows = table(spark, d, "documents").select("doc_id", enrich.salvage("text").alias("json")).where("json IS NOT NULL")
     return rows.select("doc_id", F.length("json").alias("length"))
 
 
@@ -253,7 +253,11 @@ blend AS (SELECT qid, file_id, round(sum(s), 6) AS score FROM (
 cards AS (SELECT b.qid, 1000 + b.n AS ord, concat('file:', b.file_id) AS key, concat('FILE ', coalesce(f.path, ''), ' (', f.lines, ' lines)') AS text FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_id) AS n FROM blend QUALIFY n <= 6) b JOIN files_now f USING (file_id)),
 items AS (SELECT qid, ord, key, CAST({tx.estimated_tokens('text', D)} AS BIGINT) AS tokens FROM (SELECT * FROM answers UNION ALL SELECT * FROM cards))""", packs.greedy_sql("items", 2000)) + "SELECT qid, ord, key, tokens FROM taken",
-    "json_salvage": """SELECT doc_id, CAST(length(j) AS INT) AS length FROM (SELECT doc_id, nullif(regexp_replace(regexp_extract(regexp_replace(text, '```[a-z]*', '', 'g'), '(?s)([\\[{].*[\\]}])', 1), ',\\s*([\\]}])', '\\1', 'g'), '') AS j FROM documents) WHERE j IS NOT NULL""",
+    "json_salvage": """WITH inner_text AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?s)```(?:json)?\\s*(.*?)```') THEN regexp_extract(text, '(?s)```(?:json)?\\s*(.*?)```', 1) ELSE text END AS t FROM documents),
+rest AS (SELECT doc_id, regexp_extract(t, '(?s)[\\[{].*', 0) AS r FROM inner_text WHERE regexp_matches(t, '[\\[{]')),
+tries AS (SELECT doc_id, 1 AS k, r FROM rest UNION ALL SELECT doc_id, 2, regexp_replace(r, ',(\\s*[}\\]])', '\\1', 'g') FROM rest),
+ends AS (SELECT doc_id, k, r, unnest(range(1, length(r) + 1)) AS n FROM tries)
+SELECT doc_id, CAST(min_by(n, k * 1000000000 + n) AS INT) AS length FROM ends WHERE substr(r, n, 1) IN ('}', ']') AND json_valid(substr(r, 1, n)) GROUP BY doc_id""",
     "enrichment_jobs": v.with_(v.F_SQL) + """SELECT key, prompt, concat('stub ', substr(sha256(prompt), 1, 12)) AS answer FROM (
   SELECT concat_ws('/', repo, module) AS key, concat('Describe ', module, ' with ', sum(lines), ' lines') AS prompt FROM files_now WHERE module IS NOT NULL GROUP BY repo, module)""",
     "greedy_pack": v.with_(*_BASE, v.QUESTIONS_SQL, search.search_sql(40, ["sym"]), f"""items AS (SELECT h.qid, h.rank AS ord, h.uid AS key, CAST({tx.estimated_tokens('concat(s.name, s.path)', D)} AS BIGINT) AS tokens
