@@ -5,9 +5,7 @@ from __future__ import annotations
 import builtins
 import keyword
 import sys
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,13 +139,3 @@ def judge_grades(rows: DataFrame) -> DataFrame:
 def proxy_probabilities(chosen: DataFrame) -> DataFrame:
     """(qid, id, p) from the ids a reader lists (qid, ids): the first gets 1, each later one a hundredth less."""
     return chosen.select("qid", F.posexplode("ids").alias("rank", "id")).select("qid", "id", F.greatest(F.lit(0.0), 1.0 - 0.01 * F.col("rank")).alias("p"))
-
-
-def model_frames(fn: object, schema: str):  # noqa: ANN201
-    """Wrap ``fn(pandas frame) -> pandas frame`` for ``mapInPandas``: an external model behind a plain function."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield fn(pdf)
-
-    return run, schema

@@ -58,8 +58,3 @@ def memoised(calls: DataFrame, cache: DataFrame, run: Callable[[DataFrame], Data
     todo = calls.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
     grown = cache.unionByName(run(todo).select("key", "answer"))
     return calls.join(grown, "key", "left"), grown
-
-
-def needs_rebuild(stamp: str | None, version: str) -> bool:
-    """Whether a derived table written under ``stamp`` must be built again for ``version``."""
-    return stamp != version

@@ -55,11 +55,12 @@ def terms(rows: DataFrame, text: str) -> DataFrame:
 def postings(units: DataFrame) -> DataFrame:
     """(uid, utype, term, tenths, len): the weighted frequency of each term in each unit, and the unit's whole length.
 
-    Units without a term have no row: they don't count as units.
+    Units without a term have no row: they don't count as units. Units are spread by their id while they are whole texts; their many terms are then counted and
+    summed where they are taken apart, without another shuffle.
     """
-    rows = units.select("uid", "utype", F.explode("fields").alias("f")).where("f.text <> ''")
+    rows = units.select("uid", "utype", "fields").repartition("uid").select("uid", "utype", F.explode("fields").alias("f")).where("f.text <> ''")
     rows = terms(rows.select("uid", "utype", F.col("f.tenths").alias("tenths"), F.col("f.text").alias("text")), "text")
-    counted = rows.groupBy("uid", "utype", "term").agg(F.sum("tenths").alias("tenths"))  # summed where a unit is read, before the shuffle
+    counted = rows.groupBy("uid", "utype", "term").agg(F.sum("tenths").alias("tenths"))
     whole = F.floor(F.sum("tenths").over(Window.partitionBy("uid")) / 10).cast("bigint")
     return counted.withColumn("len", whole)
 
@@ -78,9 +79,8 @@ class Index:
 
 
 def indexed(postings: DataFrame) -> DataFrame:
-    """``postings`` with ``df``, in order of terms, so that readers can pass over those that no question asks for. A frequent term spreads over files by its units."""
-    rows = postings.join(term_frequencies(postings), "term")
-    return rows.repartitionByRange("term", "uid").sortWithinPartitions("term", "uid").select("uid", "utype", "term", "tenths", "len", "df")
+    """``postings`` with ``df``, in each file in order of terms, so that readers can pass over those that no question asks for. The join splits terms that are too frequent for a task."""
+    return postings.join(term_frequencies(postings), "term").sortWithinPartitions("term").select("uid", "utype", "term", "tenths", "len", "df")
 
 
 def statistics(postings: DataFrame) -> DataFrame:

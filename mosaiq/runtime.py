@@ -14,6 +14,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,6 @@ _LOCAL_DIRS: list[str] = []
 _WRITTEN: list[str] = []
 _MOUNTED: list[str] = []
 _CACHED: list[str] = []
-#: Part of the stamp of derived tables: a change of what they hold must change it.
-VERSION = "2"
 
 
 def ship(spark: SparkSession) -> None:
@@ -93,18 +92,34 @@ def input_stamp(spark: SparkSession, paths: list[str]) -> str:
     return seen.hexdigest()[:24]
 
 
+@lru_cache(maxsize=1)
+def code_stamp() -> str:
+    """A hash of the operators and functions of this package: derived tables written by other code aren't read."""
+    root, seen = os.path.dirname(os.path.abspath(__file__)), hashlib.sha256()
+    for part in ("operators", "functions"):
+        for name in sorted(x for x in os.listdir(f"{root}/{part}") if x.endswith(".py")):
+            with open(f"{root}/{part}/{name}", "rb") as f:
+                seen.update(f.read())
+    return seen.hexdigest()[:24]
+
+
 def cached(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
     """The derived table ``name`` of ``inputs``, written once into the shared folder under a stamp of the inputs and read from there afterwards.
 
-    A table counts as written only with the mark that Spark's committer leaves last, so a crash leaves nothing that would be read. Where an input changes the
-    stamp does too, and the table is built again; later processes find it in a shared folder that stays.
+    A table counts as written only with the mark that Spark's committer leaves last, so a crash leaves nothing that would be read. Where an input or the code
+    changes the stamp does too, and the table is built again in place of the former one; later processes find it in a shared folder that stays.
     """
-    stamp = hashlib.sha256(f"{VERSION} {name} {input_stamp(spark, inputs)}".encode()).hexdigest()[:24]
-    path = f"{shared_dir(spark)}/mosaiq-{name}-{stamp}"
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+    stamp = hashlib.sha256(f"{code_stamp()} {input_stamp(spark, inputs)}".encode()).hexdigest()[:24]
+    home = f"{shared_dir(spark)}/mosaiq-{name}-{hashlib.sha256(' '.join(inputs).encode()).hexdigest()[:16]}"
+    path = f"{home}/{stamp}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(f"{path}/_SUCCESS")):
         build().write.mode("overwrite").parquet(path)
         _CACHED.append(path)
+        for other in fs.listStatus(hadoop(home)):
+            if other.getPath().getName() != stamp:
+                fs.delete(other.getPath(), True)
     return spark.read.parquet(path)
 
 

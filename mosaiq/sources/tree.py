@@ -151,19 +151,44 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    """(file system, path) as Spark resolves them."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
 def write_artefact(tables: dict[str, DataFrame], folder: str, manifest: dict) -> None:
-    """Write tables as Parquet, then the manifest, whose presence marks them complete."""
+    """Write tables as Parquet, then the manifest, whose presence marks them complete: an old one goes before the first table is touched, so a crash leaves none."""
+    spark = next(iter(tables.values())).sparkSession
+    fs, marker = _hadoop(spark, f"{folder}/_MANIFEST.json")
+    fs.delete(marker, False)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    tmp = f"{folder}/.{uuid.uuid4().hex}"
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=1)
-    os.replace(tmp, f"{folder}/_MANIFEST.json")
+    _, tmp = _hadoop(spark, f"{folder}/.{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(json.dumps(manifest, indent=1).encode()))
+    out.close()
+    fs.rename(tmp, marker)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> dict:
+    """The manifest of an artefact; empty where there is none or it is broken."""
+    fs, marker = _hadoop(spark, f"{folder}/_MANIFEST.json")
+    if not fs.exists(marker):
+        return {}
+    stream = fs.open(marker)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    try:
+        data = json.loads(text)
+    except ValueError:
+        return {}
+    return data if isinstance(data, dict) else {}
 
 
 def cached_table(spark: SparkSession, folder: str, stamp: str, build) -> DataFrame:  # noqa: ANN001
     """The table in ``folder`` if it was written under ``stamp``, else what ``build()`` gives, written there."""
-    if read_config(f"{folder}/_MANIFEST.json").get("stamp") != stamp:
+    if read_manifest(spark, folder).get("stamp") != stamp:
         write_artefact({"data": build()}, folder, {"stamp": stamp})
     return spark.read.parquet(f"{folder}/data")
 

@@ -51,13 +51,33 @@ def test_enrichment_retries_and_reports(spark):
 
 def test_json_salvage_and_cards(spark):
     df = spark.createDataFrame([(1, '```json\n{"purpose": "p", "facts": ["x",],}\n```'), (2, "none"), (3, '{"purpose": "q", "summary": "s", "facts": ["y"]}')], "key int, answer string")
-    got = {r.key: r.j for r in df.selectExpr("key", f"{en.salvage()} AS j").collect()}
+    got = {r.key: r.j for r in df.select("key", en.salvage().alias("j")).collect()}
     assert json.loads(got[1]) == {"purpose": "p", "facts": ["x"]} and got[2] is None
     card = en.cards(df, spark.createDataFrame([(1, 7, 1), (3, 7, 2), (2, 8, 1)], "key int, file_id int, part int"))
     rows = {r.file_id: r for r in card.collect()}
     assert rows[7].purpose == "p" and rows[7].facts == ["x", "y"] and rows[7].summary.strip() == "s" and rows[8].purpose == ""
 
 
+def test_only_the_first_json_value_counts():
+    assert en.first_json('see {"a": 1} and {"b": 2} [1]') == '{"a": 1}' and en.first_json("[1, 2,] tail ]") == "[1, 2]" and en.first_json("a [b c") is None and en.first_json("") is None
+    assert en.first_json('[x] ```json\n{"a": [1, {"b": 2}]}\n``` {}') == '{"a": [1, {"b": 2}]}' and en.first_json("[" * 100_000) is None
+
+
+def test_nearest_agrees_with_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(-3, 4, (300, 4)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    got = {}
+    for r in en.nearest(df, df.where("vec_id % 50 = 0").selectExpr("vec_id AS qid", "v AS q"), 5, block=64).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.vec_id))
+    norm = np.linalg.norm(v, axis=1)
+    for q in (i for i in range(0, 300, 50) if norm[i] > 0):
+        sim = [(-round(float(v[i] @ v[q] / norm[i] / norm[q]), 6), i) for i in range(300) if norm[i] > 0]
+        assert [x for _, x in sorted(got[q])] == [i for _, i in sorted(sim)[:5]]
+
+
 def test_nearest_is_exact_and_skips_zero_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [-1.0, 0.0])], "vec_id int, v array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "qid int, q array<float>")
