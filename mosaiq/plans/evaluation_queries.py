@@ -104,4 +104,11 @@ SQL = {
   JOIN (SELECT DISTINCT repo, part FROM (SELECT repo, unnest(string_split(name, '.')) AS part FROM symbols_one WHERE kind <> 'section' OR kind IS NULL) WHERE length(part) > 3) k ON k.repo = q.repo AND k.part = q.part""",
     "retrieval_recall": _RECALL,
     "distinctive_names": v.with_(v.S_SQL, _NAMES) + "SELECT name FROM special",
+    "rename_map_apply": v.with_(v.S_SQL, v.Q_SQL, _NAMES, """words AS (SELECT name, unnest(string_split(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '_', chr(1) || '_' || chr(1), 'g'), chr(1))) AS w,
+    generate_subscripts(string_split(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '_', chr(1) || '_' || chr(1), 'g'), chr(1)), 1) AS k FROM special),
+made AS (SELECT name, string_agg(CASE WHEN w IN ('_', '') THEN w ELSE concat(CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'N' ELSE 'n' END, substr(sha1(lower(w)), 1, 6)) END, '' ORDER BY k) AS new_name FROM words GROUP BY name),
+mapping AS (SELECT name, concat(new_name, repeat('_x', CAST(row_number() OVER (PARTITION BY new_name ORDER BY name) - 1 AS INT))) AS new_name FROM made),
+pieces AS (SELECT qa_id AS key, unnest(regexp_extract_all(q, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')) AS piece, generate_subscripts(regexp_extract_all(q, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), 1) AS pos FROM qa_now WHERE q IS NOT NULL),
+whole AS (SELECT key, string_agg(coalesce(m.new_name, piece), '' ORDER BY pos) AS renamed FROM pieces p LEFT JOIN mapping m ON m.name = p.piece GROUP BY key)""")
+  + "SELECT qa_id AS key, length(coalesce(renamed, q)) AS length, substr(sha1(coalesce(renamed, q)), 1, 16) AS sha FROM qa_now LEFT JOIN whole ON key = qa_id",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.functions import text as tx
 from mosaiq.plans import views as v
 from mosaiq.runtime import table
 from mosaiq.streaming import sessions
@@ -35,9 +36,9 @@ def prompt_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grep_definitions(spark: SparkSession, d: str) -> DataFrame:
-    """The symbols that the names in each prompt may mean, every current question being a prompt; ``event_id`` is its id."""
+    """The first four symbols that each of the names in a prompt may mean, as a prompt is shown them; every current question is a prompt, ``event_id`` is its id."""
     names = sessions.grep_names(v.qa(spark, d).select(F.col("qa_id").alias("event_id"), F.col("q").alias("pattern")))
-    return sessions.definitions(names, v.symbols(spark, d))
+    return sessions.definitions(names, v.stored_symbols(spark, d), most=4)
 
 
 def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -67,9 +68,11 @@ SQL = {
     "read_guard_once": v.with_(_EVENTS, "r AS (SELECT *, coalesce(event_type <> 'click' AND value * 50 > 500, false) AS g FROM ev)") + "SELECT event_id, CASE WHEN g AND row_number() OVER (PARTITION BY session, unit, g ORDER BY ts, event_id) = 1 THEN 'deny' ELSE 'allow' END AS decision FROM r",
     "card_once": v.with_(_EVENTS, "r AS (SELECT *, event_type = 'view' AS whole FROM ev WHERE event_type = 'view' OR value * 50 >= 150)", "n AS (SELECT *, row_number() OVER (PARTITION BY session, unit ORDER BY ts, event_id) AS n FROM r)") + "SELECT event_id, session, unit AS path FROM n WHERE n = 1 AND NOT whole",
     "prompt_gate": v.with_(v.Q_SQL) + "SELECT qa_id FROM qa_now WHERE q IS NOT NULL AND q <> '' AND NOT starts_with(ltrim(q), '/')",
-    "grep_definitions": v.with_(v.S_SQL, v.Q_SQL, v.QUESTIONS_SQL, """names AS (SELECT event_id, CAST(pos - 1 AS INT) AS pos, name FROM (SELECT qid AS event_id, unnest(ns) AS name, generate_subscripts(ns, 1) AS pos FROM (
-    SELECT qid, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_.]{2,}'), lambda n: lower(n) NOT IN ('def', 'class', 'function', 'func', 'const'))[:3] AS ns FROM questions)))""",
-        "tails AS (SELECT string_split(name, '.')[-1] AS name, count(*) AS hits FROM symbols_one WHERE name IS NOT NULL GROUP BY ALL)") + "SELECT n.event_id, n.pos, n.name, coalesce(t.hits, 0) AS hits FROM names n LEFT JOIN tails t USING (name)",
+    "grep_definitions": v.with_(v.S_SQL, v.Q_SQL, f"""names AS (SELECT event_id, CAST(pos - 1 AS INT) AS pos, name, rtrim(name, '.') AS want FROM (SELECT qa_id AS event_id, unnest(ns) AS name, generate_subscripts(ns, 1) AS pos FROM (
+    SELECT qa_id, list_filter(regexp_extract_all(coalesce(q, ''), '[A-Za-z_][\\p{{L}}\\p{{N}}_.]{{2,}}'), lambda n: lower(n) NOT IN ('def', 'class', 'function', 'func', 'const'))[:3] AS ns FROM qa_now))),
+found AS (SELECT w.want, s.*, s.name = w.want AS exact, row_number() OVER (PARTITION BY w.want ORDER BY s.name = w.want DESC, s.file_id, s.i) AS n
+  FROM (SELECT DISTINCT want FROM names WHERE want <> '') w JOIN symbols_one s ON {tx.last_part('s.name', tx.DUCK)} = {tx.last_part('w.want', tx.DUCK)} QUALIFY n <= 4)""")
+  + "SELECT a.event_id, a.pos, a.name, f.n, f.file_id, f.i, f.path, f.start_line, f.end_line, f.kind, f.name AS symbol, f.exact FROM names a JOIN found f USING (want)",
     "gap_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
     "session_start": v.with_(v.F_SQL, _SNAPSHOTS) + """SELECT f.repo, files, lines, coalesce(stale, 0) AS stale FROM (SELECT repo, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM files_now WHERE repo IS NOT NULL GROUP BY repo) f

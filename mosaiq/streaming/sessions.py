@@ -54,18 +54,20 @@ def grep_names(patterns: DataFrame) -> DataFrame:
     return patterns.select("event_id", F.posexplode(F.expr(f"slice({names}, 1, 3)")).alias("pos", "name"))
 
 
-def definitions(names: DataFrame, symbols: DataFrame) -> DataFrame:
+def definitions(names: DataFrame, symbols: DataFrame, most: int | None = None) -> DataFrame:
     """``names`` (event_id, pos, name) with the symbols each may mean: (event_id, pos, name, n, file_id, i, path, start_line, end_line, kind, symbol, exact).
 
     A symbol matches by its full name or the last part of it; dots at the end of a name don't count. ``n`` numbers the symbols of a name: full matches first, then by file and
-    position. Names without a symbol give no row. Each name is looked up once, however often it is asked.
+    position; with ``most`` only so many of each name are given. Names without a symbol give no row. Each name is looked up once, however often it is asked.
     """
     asked = names.withColumn("want", F.expr("trim(TRAILING '.' FROM name)")).where("want <> ''")
     wanted = asked.select("want").distinct().withColumn("last", F.expr(tx.last_part("want")))
     s = symbols.where("name IS NOT NULL").select("file_id", "i", "path", "start_line", "end_line", "kind", F.col("name").alias("symbol"), F.expr(tx.last_part("name")).alias("last"))
     found = wanted.join(s, "last").withColumn("exact", F.col("symbol") == F.col("want"))
     n = F.row_number().over(Window.partitionBy("want").orderBy(F.desc("exact"), "file_id", "i")).cast("bigint")
-    return asked.join(found.withColumn("n", n), "want").select("event_id", "pos", "name", "n", "file_id", "i", "path", "start_line", "end_line", "kind", "symbol", "exact")
+    found = found.withColumn("n", n)
+    found = found if most is None else found.where(F.col("n") <= most)
+    return asked.join(found, "want").select("event_id", "pos", "name", "n", "file_id", "i", "path", "start_line", "end_line", "kind", "symbol", "exact")
 
 
 def stream_first_sent(events: DataFrame, idle_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
