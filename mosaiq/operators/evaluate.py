@@ -87,6 +87,27 @@ def recall(wanted: DataFrame, got: DataFrame) -> DataFrame:
     return out.withColumn("recall", F.round(F.col("found") / F.col("wanted"), 6))
 
 
+def arm_ratios(report: DataFrame, group: list[str], baseline: str = "baseline") -> DataFrame:
+    """(group, arm, cost_ratio, token_ratio, score_gain, pay_back) of :func:`arm_report`: each arm against the baseline of its group.
+
+    ``pay_back`` is how many questions of an arm cost as much as one of them saves; null where nothing is saved, as ratios are where the baseline has none.
+    """
+    base = report.where(F.col("arm") == baseline).select(*group, F.col("mean_cost").alias("c"), F.col("mean_tokens").alias("t"), F.col("mean_total").alias("s"))
+    rows, saved = report.join(base, group), F.col("c") - F.col("mean_cost")
+    return rows.select(
+        *group, "arm", F.round(F.when(F.col("c") > 0, F.col("mean_cost") / F.col("c")), 6).alias("cost_ratio"), F.round(F.when(F.col("t") > 0, F.col("mean_tokens") / F.col("t")), 6).alias("token_ratio"),
+        F.round(F.col("mean_total") - F.col("s"), 6).alias("score_gain"), F.round(F.when(saved > 0, F.col("mean_cost") / saved), 6).alias("pay_back"),
+    )
+
+
+def pack_recall(wanted: DataFrame, packed: DataFrame) -> DataFrame:
+    """(key, kind, wanted, found, recall): of the items (key, kind, item) the share that occurs in the pack (key, text) of their key, by kind."""
+    one = wanted.select("key", "kind", "item").distinct().join(packed.where("text IS NOT NULL"), "key", "left")
+    hit = one.groupBy("key", "kind", "item").agg(F.max(F.coalesce(F.contains("text", "item"), F.lit(False))).alias("hit"))
+    out = hit.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("wanted"), F.count_if("hit").alias("found"))
+    return out.withColumn("recall", F.round(F.col("found") / F.col("wanted"), 6))
+
+
 #: Names that tell no project apart, besides what the language itself defines.
 COMMON_NAMES = """self cls args kwargs main setup test tests conftest init name value data path file key items keys values update copy get set run add pop index close open read write load dump
 loads dumps call wrapper decorator check process result response request session config app json utils helpers types typing globals logging views debug testing version docs examples src

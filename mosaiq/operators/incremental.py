@@ -48,6 +48,19 @@ def carry_over(rows: DataFrame, dirty: DataFrame, alive: DataFrame) -> DataFrame
     return rows.join(alive.select("repo", "module").distinct(), ["repo", "module"], "left_semi").join(dirty, ["repo", "module"], "left_anti")
 
 
+def refreshed(repos: DataFrame, dirty: DataFrame, described: DataFrame) -> DataFrame:
+    """(repo, refresh): whether the texts about a whole repository must be written again: a module of it is dirty, or it isn't among those ``described`` (repo) so far."""
+    touched = dirty.select("repo").distinct().withColumn("touched", F.lit(True))
+    known = described.select("repo").distinct().withColumn("known", F.lit(True))
+    rows = repos.select("repo").where("repo IS NOT NULL").distinct().join(touched, "repo", "left").join(known, "repo", "left")
+    return rows.select("repo", (F.col("touched").isNotNull() | F.col("known").isNull()).alias("refresh"))
+
+
+def upgraded(dirty: DataFrame, new: DataFrame, old_mode: str | None, mode: str) -> DataFrame:
+    """The dirty modules (repo, module); all there are where a corpus built as structure alone is now built in full."""
+    return new.select("repo", "module").where("module IS NOT NULL").distinct() if (old_mode, mode) == ("structure", "full") else dirty
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """``table`` with the rows of ``rows`` in place of those with the same key."""
     return table.join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.plans import corpus_queries, evaluation_queries, graph_queries, retrieval_queries, session_queries
+from mosaiq.plans import corpus_queries, evaluation_queries, graph_queries, knowledge_queries, retrieval_queries, session_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (corpus_queries, graph_queries, retrieval_queries, session_queries, evaluation_queries)
+GROUPS = (corpus_queries, graph_queries, retrieval_queries, session_queries, evaluation_queries, knowledge_queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

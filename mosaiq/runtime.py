@@ -208,6 +208,21 @@ def ranked(df: DataFrame, by: list[str], order: list[Column | str], name: str =
     return out.select(*df.columns, (F.col("_pos") + F.col("_shift")).alias(name))
 
 
+def prefix_sums(rows: DataFrame, by: list[str], order: list[str], size: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``size`` over the rows before each one in its group; 0 for the first.
+
+    Rows are sorted by range, so a group of any size spreads over tasks: sums within a task are shifted by what earlier tasks hold of the group. Nulls count as 0.
+    """
+    sort = [F.col(c).asc_nulls_first() for c in [*by, *order]]
+    placed = materialise(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id()))
+    inside = F.sum(size).over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    sums = placed.groupBy(*by, "_part").agg(F.sum(size).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sums.select(*by, "_part", F.coalesce(earlier, F.lit(0)).alias("_shift"))
+    out = match(placed.withColumn("_inside", F.coalesce(inside, F.lit(0))), shift, [*by, "_part"])
+    return out.select(*rows.columns, (F.col("_inside") + F.col("_shift")).alias(name))
+
+
 def match(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``by`` in which null equals null; the result has the columns of ``left``, then the others of ``right``."""
     right = right.select(*[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in right.columns])

@@ -70,6 +70,20 @@ def definitions(names: DataFrame, symbols: DataFrame, most: int | None = None) -
     return asked.join(found, "want").select("event_id", "pos", "name", "n", "file_id", "i", "path", "start_line", "end_line", "kind", "symbol", "exact")
 
 
+def requests(lines: DataFrame) -> DataFrame:
+    """(id, method, params, line) of lines of text (value), each a JSON request; blank and broken lines, and those without a method, fall out. The same for streams."""
+    parsed = F.from_json("value", "id bigint, method string, params struct<k: string>", {"mode": "PERMISSIVE"})
+    rows = lines.select(parsed.alias("r"), F.col("value").alias("line")).where("r.method IS NOT NULL")
+    return rows.select("r.id", "r.method", F.col("r.params.k").alias("params"), "line")
+
+
+def dispatched(calls: DataFrame, handlers: dict[str, str]) -> DataFrame:
+    """(id, line): what each request (id, method, params) hands to its handler, as a line of JSON; methods without a handler give nothing. The same for streams."""
+    table = F.create_map(*[F.lit(x) for kv in handlers.items() for x in kv])
+    rows = calls.select("id", F.try_element_at(table, F.col("method")).alias("handler"), F.col("params").alias("unit")).where("handler IS NOT NULL")
+    return rows.select("id", F.to_json(F.struct("id", "handler", "unit")).alias("line"))
+
+
 def stream_first_sent(events: DataFrame, idle_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
     """:func:`first_sent` over a stream of (session, unit, ts, event_id): state holds the units each session has received.
 
