@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mosaiq.llm.broken_pairs import broken_pairs, project_pairs
 from mosaiq.llm.encode import encode
-from mosaiq.llm.mix_sources import mix_sources, shares, sized_documents
+from mosaiq.llm.mix_sources import mix_sources, shares, sized_documents, source_key
 from mosaiq.llm.nonhand_files import nonhand_files
 from mosaiq.llm.pack_items import file_containers
 from mosaiq.llm.rank_scores import bench_ranks
 from mosaiq.llm.repetition import repetition, repetitive
 from mosaiq.llm.split_items import file_pieces
-from mosaiq.runtime import limit_value, table
+from mosaiq.runtime import limit_value, match, table
 
 
 def p1_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +27,28 @@ def p2_containers(spark: SparkSession, d: str) -> DataFrame:
     return file_containers(table(spark, d, "files"), limit_value(spark, d, "container_lines", 1400))
 
 
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    """(repo, files, lines, overfull, tight): what the containers of each repository hold, how many hold too much, and whether they are at most a hundredth and one above the least number possible."""
+    capacity = limit_value(spark, d, "container_lines", 1400)
+    placed = p2_containers(spark, d)
+    one = placed.groupBy("repo", "container").agg(F.sum("lines").alias("fill"))
+    rows = one.groupBy("repo").agg(F.sum("fill").alias("lines"), F.count_if(F.col("fill") > capacity).alias("overfull"), F.count(F.lit(1)).alias("containers"))
+    files = placed.groupBy("repo").agg(F.count_distinct("file_id").alias("files"))
+    tight = F.col("containers") <= F.ceil(F.col("lines") / capacity) * 1.01 + 1
+    return match(rows, files, ["repo"]).select("repo", "files", "lines", "overfull", tight.alias("tight"))
+
+
+def p3_audit(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id, lines, whole, short, shared): of each divided file the last line covered, whether its pieces begin at line 1 without a gap, keep the limit, and share the overlap asked for."""
+    limit, overlap = limit_value(spark, d, "piece_lines", 1100), limit_value(spark, d, "piece_overlap_lines", 30)
+    before = F.lag("end_line").over(Window.partitionBy("file_id").orderBy("piece"))
+    rows = p3_pieces(spark, d).withColumn("before", before)
+    return rows.groupBy("file_id").agg(
+        F.max("end_line").alias("lines"), (F.min("start_line") == 1).alias("whole"), F.bool_and(F.expr(f"end_line - start_line + 1 BETWEEN 1 AND {limit}")).alias("short"),
+        F.bool_and(F.col("before").isNull() | (F.col("before") - F.col("start_line") + 1 == overlap)).alias("shared"),
+    )
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     limit, overlap = limit_value(spark, d, "piece_lines", 1100), limit_value(spark, d, "piece_overlap_lines", 30)
     return file_pieces(table(spark, d, "files"), table(spark, d, "symbols"), limit, overlap)
@@ -57,6 +80,18 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"), percent)
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """(source, over_cap, strangers): of each source with a target and documents, how many documents come too often into the mix, and how many copies are of no document of that source."""
+    mix = p7_mix(spark, d)
+    caps = table(spark, d, "mix_targets").select(source_key("source").alias("source"), "max_repeats").where("source IS NOT NULL").groupBy("source").agg(F.min("max_repeats").alias("cap"))
+    docs = table(spark, d, "documents").select("doc_id", source_key("source").alias("own"))
+    often = mix.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.max("copy").alias("last")).join(docs, "doc_id", "left")
+    often = often.groupBy("source").agg(F.max("times").alias("most"), F.count_if(F.expr("last <> times")).alias("holes"), F.count_if(F.expr("NOT (own <=> source)")).alias("strangers"))
+    rows = caps.join(docs.select(F.col("own").alias("source")).distinct(), "source").join(often, "source", "left")
+    over = F.when(F.coalesce("most", F.lit(0)) > F.col("cap"), 1).otherwise(0) + F.coalesce("holes", F.lit(0))
+    return rows.select("source", over.cast("bigint").alias("over_cap"), F.coalesce("strangers", F.lit(0)).alias("strangers"))
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p7_mix(spark, d), table(spark, d, "mix_targets"))
 
@@ -72,7 +107,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_ranks": p1_ranks, "p2_containers": p2_containers, "p3_pieces": p3_pieces, "p3_found": p3_found, "p4_found": p4_found, "p5_files": p5_files,
-        "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_repetition": p8_repetition, "p8_found": p8_found,
+        "p2_audit": p2_audit, "p3_audit": p3_audit, "p7_audit": p7_audit, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_repetition": p8_repetition, "p8_found": p8_found,
     }
 
 
@@ -106,6 +141,14 @@ WITH cur AS (
 SELECT file_id FROM cur WHERE lines > (SELECT max(limit_value) FROM task_limits WHERE limit_name = 'piece_lines')
 """
 
+#: What the audits must find, from the tables alone.
+_CURRENT = """cur AS (
+  SELECT file_id, repo, lines FROM files WHERE lines IS NOT NULL AND file_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY scanned_at DESC NULLS LAST, loaded_at DESC NULLS LAST, repo DESC NULLS LAST, lines DESC) = 1)"""
+P2_AUDIT_SQL = f"WITH {_CURRENT} SELECT repo, count(*) AS files, CAST(sum(greatest(lines, 0)) AS BIGINT) AS lines, 0 AS overfull, true AS tight FROM cur GROUP BY repo"
+P3_AUDIT_SQL = f"WITH {_CURRENT} SELECT file_id, lines, true AS whole, true AS short, true AS shared FROM cur WHERE lines > (SELECT max(limit_value) FROM task_limits WHERE limit_name = 'piece_lines')"
+P7_AUDIT_SQL = """SELECT DISTINCT t.source, 0 AS over_cap, 0 AS strangers FROM (SELECT lower(trim(source)) AS source FROM mix_targets) t JOIN (SELECT lower(trim(source)) AS source FROM documents) d USING (source)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_ranks": P1_SQL, "p3_found": P3_FOUND_SQL}
+    return {"p1_ranks": P1_SQL, "p3_found": P3_FOUND_SQL, "p2_audit": P2_AUDIT_SQL, "p3_audit": P3_AUDIT_SQL, "p7_audit": P7_AUDIT_SQL}
