@@ -193,6 +193,33 @@ def cached_table(spark: SparkSession, folder: str, stamp: str, build) -> DataFra
     return spark.read.parquet(f"{folder}/data")
 
 
+def write_packs(packs: DataFrame, folder: str, title: str = "Context") -> None:
+    """A Markdown document for each question of (qid, ord, text), as one file of text in a folder ``qid=…``: a title, then the parts in order."""
+    parts = packs.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("ps"))
+    parts.select("qid", F.concat(F.lit(f"# {title}\n\n"), F.array_join("ps.text", "\n\n")).alias("value")).write.mode("overwrite").partitionBy("qid").text(folder)
+
+
+def write_renamed(texts: DataFrame, folder: str) -> None:
+    """A renamed corpus (repo, path, renamed): Parquet with a folder for each repository; rows without a path are left out."""
+    texts.where("path IS NOT NULL").select("repo", "path", F.col("renamed").alias("text")).write.mode("overwrite").partitionBy("repo").parquet(folder)
+
+
+def update_config(path: str, add: dict[str, list[str]] | None = None, remove: dict[str, list[str]] | None = None, extensions: object = None) -> dict:
+    """Change lists and file types of a configuration file and write it atomically: entries are added once, in order, and removed; types are merged. The new configuration."""
+    config = read_config(path)
+    for key, values in (add or {}).items():
+        config[key] = list(dict.fromkeys([*config.get(key, []), *values]))
+    for key, values in (remove or {}).items():
+        config[key] = [x for x in config.get(key, []) if x not in values]
+    if extensions:
+        config["extensions"] = rl.layered_mapping(config.get("extensions"), extensions)
+    tmp = f"{path}.{uuid.uuid4().hex}"
+    with open(tmp, "w", encoding="utf-8") as f:
+        json.dump(config, f, indent=1)
+    os.replace(tmp, path)
+    return config
+
+
 def register(path: str, root: str, stats: dict) -> None:
     """Insert or replace the entry of ``root`` in a registry file, atomically."""
     data = {**read_config(path), root: stats}

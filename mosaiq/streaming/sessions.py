@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,11 +85,12 @@ def dispatched(calls: DataFrame, handlers: dict[str, str]) -> DataFrame:
     return rows.select("id", F.to_json(F.struct("id", "handler", "unit")).alias("line"))
 
 
-def stream_first_sent(events: DataFrame, idle_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
-    """:func:`first_sent` over a stream of (session, unit, ts, event_id): state holds the units each session has received.
+def _judged_stream(events: DataFrame, judge: Callable[[Any, Callable[[str, str], bool]], tuple | None], out: str, idle_ms: int, delay: str) -> DataFrame:
+    """What ``judge`` makes of each row of a stream with session, ts and event_id, given a function that says whether the session has a unit of some kind for the first time.
 
-    It is dropped once event time has passed the session's last event by ``idle_ms``; events later than ``delay`` behind the newest may be judged without it.
+    State is dropped once event time has passed the session's last event by ``idle_ms``, so a run over available data ends.
     """
+    columns = [c.split()[0] for c in out.split(", ")]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -96,23 +98,59 @@ def stream_first_sent(events: DataFrame, idle_ms: int = 7_200_000, delay: str =
             return
         units, last = state.get if state.exists else ([], 0)
         seen = set(units)
-        fresh = []
+
+        def first(kind: str, unit: str) -> bool:
+            entry = f"{kind} {unit}"
+            fresh = entry not in seen
+            seen.add(entry)
+            return fresh
+
+        rows = []
         for pdf in frames:
             for row in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
                 if row.ts is not pd.NaT:
                     last = max(last, int(row.ts.timestamp() * 1000))
-                if row.unit is not None and row.unit not in seen:
-                    seen.add(row.unit)
-                    fresh.append((key[0], row.unit, row.ts, row.event_id))
+                verdict = judge(row, first)
+                if verdict is not None:
+                    rows.append((key[0], *verdict))
         state.update((sorted(seen), last))
         state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(fresh, columns=["session", "unit", "ts", "event_id"])
+        yield pd.DataFrame(rows, columns=columns)
 
-    out = "session string, unit string, ts timestamp, event_id bigint"
     held = "seen array<string>, last bigint"
     return events.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_first_sent(events: DataFrame, idle_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
+    """:func:`first_sent` over a stream of (session, unit, ts, event_id): state holds the units each session has received.
+
+    It is dropped once event time has passed the session's last event by ``idle_ms``; events later than ``delay`` behind the newest may be judged without it.
+    """
+
+    def judge(row: Any, first: Callable[[str, str], bool]) -> tuple | None:
+        return (row.unit, row.ts, row.event_id) if row.unit is not None and first("sent", row.unit) else None
+
+    return _judged_stream(events, judge, "session string, unit string, ts timestamp, event_id bigint", idle_ms, delay)
+
+
+def stream_reads(reads: DataFrame, guard: int = 500, card: int = 150, idle_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
+    """:func:`read_guard` and :func:`card_once` over a stream of (session, path, lines, whole, stale, ts, event_id): (session, event_id, decision, card).
+
+    The first whole read of a long file that isn't stale is denied, and its card counts as given; the first partial read of a file of some length gets the card.
+    """
+
+    def judge(row: Any, first: Callable[[str, str], bool]) -> tuple | None:
+        if row.path is None:
+            return row.event_id, "allow", False
+        if row.whole and (row.lines or 0) > guard and not row.stale:
+            denied = first("guard", row.path)
+            first("card", row.path)
+            return row.event_id, "deny" if denied else "allow", False
+        return row.event_id, "allow", bool(not row.whole and (row.lines or 0) >= card and first("card", row.path))
+
+    return _judged_stream(reads, judge, "session string, event_id bigint, decision string, card boolean", idle_ms, delay)
+
+
 def gap_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, start, end, n): runs of events of a user with no gap of ``gap`` or more; the same expression serves streams (with a watermark)."""
     rows = events.where("ts IS NOT NULL").groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
