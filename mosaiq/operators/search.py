@@ -37,6 +37,20 @@ def units(files: DataFrame, symbols: DataFrame, qa: DataFrame) -> DataFrame:
     return q.unionByName(m).unionByName(f).unionByName(s)
 
 
+def flow_units(steps: DataFrame) -> DataFrame:
+    """The units of flows (doc_id, name, step, ref, note): their names count twice their steps."""
+    whole = steps.groupBy("doc_id").agg(F.max("name").alias("name"), F.array_join(F.expr("transform(array_sort(collect_list(struct(step, ref, note))), x -> concat(x.ref, ' ', x.note))"), " ").alias("steps"))
+    fields = F.array(*[F.struct(F.coalesce(c, F.lit("")).alias("text"), F.lit(w).alias("tenths")) for c, w in ((F.col("name"), 20), (F.col("steps"), 10))])
+    return whole.select(F.concat(F.lit("flow:"), "doc_id").alias("uid"), F.lit("flow").alias("utype"), fields.alias("fields"))
+
+
+def with_texts(units: DataFrame, texts: DataFrame, tenths: int = 10) -> DataFrame:
+    """``units`` with one more field for those that (uid, text) has something about: cards of files, notes of symbols. Repeated uids are not allowed."""
+    more = F.array(F.struct("text", F.lit(tenths).alias("tenths")))
+    rows = units.join(texts.where("text <> ''").select("uid", more.alias("more")), "uid", "left")
+    return rows.select("uid", "utype", F.when(F.col("more").isNull(), F.col("fields")).otherwise(F.concat("fields", "more")).alias("fields"))
+
+
 def terms(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with a column ``term`` in place of ``text``: one row for each index term of the text, as :func:`mosaiq.functions.text.tokens` gives them.
 

@@ -20,6 +20,7 @@ from mosaiq.streaming import sessions
 D = tx.DUCK
 TIERS = {"large": "strong", "small": "fast"}
 MIN_SCORE = 12.0
+SCOPE = rules.parse_rules(["src/", "lib/", "/core/**", "pkg/**", "!**/generated/**"])
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -199,6 +200,78 @@ def extract_python(spark: SparkSession, d: str) -> DataFrame:
     return extract.imports_of(_sources(spark, d).where("lang = 'python'"))
 
 
+def index_all_units(spark: SparkSession, d: str) -> DataFrame:
+    """(utype, units, len, postings) of an index that also holds flows, the cards of files and the notes of symbols."""
+    docs, files, symbols = _documents(spark, d), v.stored_files(spark, d), v.stored_symbols(spark, d)
+    sentences = kn.card_sentences(docs)
+    cards = sentences.groupBy("repo", "path").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(doc_id, pos, sentence))), x -> x.sentence)"), " ").alias("text"))
+    cards = files.where("path IS NOT NULL").select(F.concat(F.lit("file:"), "file_id").alias("uid"), F.lower("repo").alias("repo"), "path").join(cards, ["repo", "path"]).select("uid", "text")
+    notes = kn.symbol_notes(sentences, symbols).select(F.concat(F.lit("sym:"), "file_id", F.lit(":"), "i").alias("uid"), F.col("note").alias("text"))
+    units = search.units(files, symbols, v.qa(spark, d)).unionByName(search.flow_units(kn.flow_steps(docs)))
+    rows = search.postings(search.with_texts(units, cards.unionByName(notes))).groupBy("utype", "uid").agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("terms"))
+    return rows.groupBy("utype").agg(F.count(F.lit(1)).alias("units"), F.sum("len").alias("len"), F.sum("terms").alias("postings"))
+
+
+def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """(want, n, file_id, i, exact, note): the first ten symbols of every name that answers cite, full matches first, with the note a card has on them. Registrations match by any word of theirs."""
+    refs = v.qa(spark, d).select(F.explode("refs").alias("ref")).where("ref LIKE '%::%'").select(F.regexp_extract("ref", r"::(.+)$", 1).alias("name")).distinct()
+    symbols = v.stored_symbols(spark, d)
+    words = F.explode(F.expr(r"array_distinct(regexp_extract_all(name, r'\w+', 0))"))
+    registered = symbols.where("kind = 'registration'").select("file_id", "i", "path", "start_line", "end_line", "kind", words.alias("name"))
+    pool = symbols.where("kind <> 'registration' OR kind IS NULL").select("file_id", "i", "path", "start_line", "end_line", "kind", "name").unionByName(registered)
+    found = sessions.definitions(refs.select(F.lit(0).alias("event_id"), F.lit(0).alias("pos"), "name"), pool, most=10)
+    notes = kn.symbol_notes(kn.card_sentences(_documents(spark, d)), symbols)
+    return found.join(notes, ["file_id", "i"], "left").select(F.col("name").alias("want"), "n", "file_id", "i", "exact", F.coalesce("note", F.lit("")).alias("note"))
+
+
+def corpus_scan_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The files that a scan keeps with rules of its own, which overrule the built-in ones, a scope of folders, and a file type of its own."""
+    return rules.scan_filter(v.stored_files(spark, d), corpus.RULES, SCOPE, {".h": "cpp"}).select("file_id", "language")
+
+
+def _card_files(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d).where("kind = 'card' AND path IS NOT NULL").select(F.lower(F.trim("source")).alias("repo"), F.expr(tx.normal_path("path")).alias("path")).distinct()
+    files = v.stored_files(spark, d).where("path IS NOT NULL").select("file_id", F.lower("repo").alias("repo"), "path")
+    return files.join(docs, ["repo", "path"]).select("file_id").distinct()
+
+
+def card_carry_over(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id, state): cards after an update: those of unchanged files are kept, those of changed and added ones written anew, those of deleted ones gone."""
+    raw = table(spark, d, "files")
+    changes = incremental.changed(incremental.snapshot(raw, "2999-01-01"), incremental.snapshot(raw, corpus.CUTOFF))
+    fresh = changes.where("status <> 'deleted'").select("file_id", F.lit("new").alias("state"))
+    kept = _card_files(spark, d).join(changes.where("status = 'deleted'"), "file_id", "left_anti").select("file_id", F.lit("kept").alias("state"))
+    return incremental.upsert(kept, fresh, ["file_id"])
+
+
+def card_merge(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id, purpose, summary, facts): the cards of long files, put together from the answers on their parts."""
+    from mosaiq.operators import modules
+
+    parts = modules.chunk_cuts(v.stored_files(spark, d), v.stored_symbols(spark, d))
+    jobs = parts.select(F.concat_ws("-", "file_id", "part").alias("key"), "file_id", "part")
+    told = F.concat(F.lit('sure: {"purpose": "p'), "part", F.lit('", "summary": "lines '), "start_line", F.lit(" to "), "end_line", F.lit('", "facts": ["f'), "part", F.lit('",]}'))
+    cards = enrich.cards(parts.select(F.concat_ws("-", "file_id", "part").alias("key"), told.alias("answer")), jobs)
+    return cards.select("file_id", "purpose", "summary", F.array_join("facts", " ").alias("facts"))
+
+
+def memoised_answers(spark: SparkSession, d: str) -> DataFrame:
+    """(key, answer): a prompt for each module, where answers on repositories before ``m`` are known and only the others are asked for."""
+    calls = v.stored_files(spark, d).where("module IS NOT NULL AND repo IS NOT NULL").select(F.concat_ws("/", "repo", "module").alias("key"), "repo", F.concat(F.lit("Describe "), "module").alias("prompt")).distinct()
+    cache = calls.where("repo < 'm'").select("key", F.lit("known").alias("answer"))
+    return incremental.memoised(calls.select("key", "prompt"), cache, enrich.complete)[0].select("key", "answer")
+
+
+def proxy_judge(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, id, p): the probabilities that a reader's list of the first ten candidates stands for."""
+    lists = retrieval.candidates(spark, d).where("pos <= 10").groupBy("qid").agg(F.expr("transform(array_sort(collect_list(struct(pos, cid))), x -> x.cid)").alias("ids"))
+    return evaluate.proxy_probabilities(lists).select("qid", "id", F.round("p", 6).alias("p"))
+
+
+def session_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", sessions.session_key("source").alias("key"))
+
+
 #: A small tree in which every rule of import resolution gives edges: ``{n}`` runs from 0 to 9.
 TREE = (
     ("py{n}/pkg/a.py", "python", (".util", "py{n}.pkg.util.name", "pkg{n}.deep.mod.x")), ("py{n}/pkg/util.py", "python", ("..pkg.a",)), ("src{n}/pkg{n}/deep/mod.py", "python", ()),
@@ -241,7 +314,7 @@ QUERIES = {
     for f in (
         flow_steps, symbol_notes, fact_overlap, orienting_texts, question_windows, alias_write_back, core_sections, valid_qa, core_refresh, stale_marks, relative_paths, model_tiers, usage_totals,
         reader_usage, arm_ratios, search_min_score, search_unsent, pack_selected, answers, pack_recall, rpc_requests, event_dispatch, last_events, extract_symbols, extract_declarations, extract_imports,
-        extract_python, import_rules, unknown_extension_rules, nested_members,
+        extract_python, import_rules, unknown_extension_rules, nested_members, index_all_units, symbol_lookup, corpus_scan_rules, card_carry_over, card_merge, memoised_answers, proxy_judge, session_keys,
     )
 }
 
@@ -265,9 +338,10 @@ _SRC = "src AS (SELECT doc_id AS file_id, file_lang AS lang, text FROM documents
 _IMPORTS_SQL = " UNION ALL ".join(
     f"SELECT file_id, unnest(regexp_extract_all(text, {tx.literal('(?m)' + p, D)}, 1)) AS imp FROM src WHERE lang = '{lang}'" for lang, ps in extract.IMPORTS.items() if lang != "python" for p in ps
 )
+_FLOWS = f"""SELECT doc_id, name, TRY_CAST(regexp_extract(l, '{kn.STEP}', 1) AS INT) AS step, regexp_extract(l, '{kn.STEP}', 2) AS ref, regexp_extract(l, '{kn.STEP}', 3) AS note FROM (
+  SELECT doc_id, ls[1] AS name, unnest(ls) AS l FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents WHERE kind = 'flow' AND text IS NOT NULL)) WHERE regexp_matches(l, '{kn.STEP}')"""
 SQL = {
-    "flow_steps": f"""SELECT doc_id, name, TRY_CAST(regexp_extract(l, '{kn.STEP}', 1) AS INT) AS step, regexp_extract(l, '{kn.STEP}', 2) AS ref, regexp_extract(l, '{kn.STEP}', 3) AS note FROM (
-  SELECT doc_id, ls[1] AS name, unnest(ls) AS l FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents WHERE kind = 'flow' AND text IS NOT NULL)) WHERE regexp_matches(l, '{kn.STEP}')""",
+    "flow_steps": _FLOWS,
     "symbol_notes": v.with_(v.S_SQL, _CARDS) + f""", named AS (SELECT repo, path, doc_id, pos, sentence, unnest(list_distinct(regexp_extract_all(sentence, '{kn.QUOTED_NAME}', 1))) AS last FROM sentences),
 first_notes AS (SELECT repo, path, last, arg_min(sentence, {{'d': doc_id, 'p': pos}}) AS note FROM named GROUP BY ALL)
 SELECT s.file_id, s.i, coalesce(f.note, '') AS note FROM symbols_one s LEFT JOIN first_notes f ON f.repo = lower(s.repo) AND f.path = s.path AND f.last = {tx.last_part('s.name', D)} WHERE s.name IS NOT NULL""",
@@ -327,6 +401,30 @@ found AS (SELECT file_id, line, coalesce(CASE lang
     WHEN 'sql' THEN regexp_extract(l, '(?i)^~*create~+(?:or~+replace~+)?(?:table|view|function|procedure|index)~+(?:if~+not~+exists~+)?(@(?:#|[.])*)', 1) END, '') AS name FROM ls WHERE length(l) <= 300)""".replace("~", "[\\s\\p{Z}]").replace("#", "[\\p{L}\\p{N}_$]").replace("@", "[\\p{L}_$]"))
   + f"SELECT file_id, CAST(line AS INT) AS line, {tx.tail('name', D)} AS name FROM found WHERE name <> ''",
     "extract_imports": v.with_(_SRC, f"raw AS ({_IMPORTS_SQL} UNION ALL SELECT file_id, unnest(regexp_extract_all(block, '\"([\\w./-]+)\"', 1)) FROM (SELECT file_id, unnest(regexp_extract_all(text, '(?ms)^import\\s*\\((.*?)^\\)', 1)) AS block FROM src WHERE lang = 'go'))") + "SELECT DISTINCT file_id, imp FROM raw",
+    "index_all_units": v.with_(v.F_SQL, v.S_SQL, v.Q_SQL, search.UNITS_SQL.replace("units AS (", "plain AS (", 1), _CARDS, f"""steps AS ({_FLOWS}),
+flows AS (SELECT concat('flow:', doc_id) AS uid, 'flow' AS utype, [{{'text': coalesce(max(name), ''), 'tenths': 20}}, {{'text': coalesce(string_agg(concat(ref, ' ', note), ' ' ORDER BY step, ref, note), ''), 'tenths': 10}}] AS fields FROM steps GROUP BY doc_id),
+named AS (SELECT repo, path, doc_id, pos, sentence, unnest(list_distinct(regexp_extract_all(sentence, '{kn.QUOTED_NAME}', 1))) AS last FROM sentences),
+more AS (SELECT concat('file:', f.file_id) AS uid, c.text FROM files_now f JOIN (SELECT repo, path, string_agg(sentence, ' ' ORDER BY doc_id, pos, sentence) AS text FROM sentences GROUP BY ALL) c ON c.repo = lower(f.repo) AND c.path = f.path
+  UNION ALL SELECT concat('sym:', s.file_id, ':', s.i), n.text FROM symbols_one s JOIN (SELECT repo, path, last, arg_min(sentence, {{'d': doc_id, 'p': pos}}) AS text FROM named GROUP BY ALL) n ON n.repo = lower(s.repo) AND n.path = s.path AND n.last = {tx.last_part('s.name', D)}),
+units AS (SELECT u.uid, u.utype, CASE WHEN m.text IS NULL THEN u.fields ELSE list_append(u.fields, {{'text': m.text, 'tenths': 10}}) END AS fields FROM (SELECT * FROM plain UNION ALL SELECT * FROM flows) u LEFT JOIN more m ON m.uid = u.uid AND m.text <> '')""", search.POSTINGS_SQL)
+  + "SELECT utype, count(*) AS units, CAST(sum(len) AS BIGINT) AS len, CAST(sum(terms) AS BIGINT) AS postings FROM (SELECT utype, uid, max(len) AS len, count(*) AS terms FROM postings GROUP BY ALL) GROUP BY utype",
+    "symbol_lookup": v.with_(v.S_SQL, v.Q_SQL, _CARDS, f"""quoted AS (SELECT repo, path, doc_id, pos, sentence, unnest(list_distinct(regexp_extract_all(sentence, '{kn.QUOTED_NAME}', 1))) AS last FROM sentences),
+notes AS (SELECT repo, path, last, arg_min(sentence, {{'d': doc_id, 'p': pos}}) AS note FROM quoted GROUP BY ALL),
+wanted AS (SELECT name, rtrim(name, '.') AS want FROM (SELECT DISTINCT regexp_extract(ref, '::(.+)$', 1) AS name FROM (SELECT unnest(refs) AS ref FROM qa_now) WHERE ref LIKE '%::%')),
+pool AS (SELECT file_id, i, repo, path, name, name AS full_name FROM symbols_one WHERE kind <> 'registration' OR kind IS NULL UNION ALL SELECT file_id, i, repo, path, unnest(list_distinct(regexp_extract_all(name, '\\w+'))), name FROM symbols_one WHERE kind = 'registration'),
+found AS (SELECT w.want, p.*, p.name = w.want AS exact, row_number() OVER (PARTITION BY w.want ORDER BY p.name = w.want DESC, p.file_id, p.i) AS n FROM (SELECT DISTINCT want FROM wanted WHERE want <> '') w JOIN pool p ON {tx.last_part('p.name', D)} = {tx.last_part('w.want', D)} QUALIFY n <= 10)""")
+  + f"SELECT w.name AS want, f.n, f.file_id, f.i, f.exact, coalesce(o.note, '') AS note FROM wanted w JOIN found f USING (want) LEFT JOIN notes o ON o.repo = lower(f.repo) AND o.path = f.path AND o.last = {tx.last_part('f.full_name', D)}",
+    "corpus_scan_rules": v.with_(v.F_SQL) + f"""SELECT file_id, language FROM (SELECT *, {rules.language_sql('path', D, {'.h': 'cpp'})} AS language FROM files_now
+  WHERE NOT coalesce({rules.decide_sql('path', corpus.RULES)}, regexp_matches(path, {tx.literal(rules.ignored_pattern(rules.IGNORED), D)})) AND coalesce({rules.decide_sql('path', SCOPE)}, false) AND bytes BETWEEN 1 AND {rules.MAX_BYTES})
+  WHERE language <> '' AND (lines <= 0 OR bytes / greatest(lines, 1) <= {rules.MAX_MEAN_LINE})""",
+    "card_carry_over": v.with_(v.F_SQL, corpus._SNAPSHOTS) + f"""SELECT file_id, 'new' AS state FROM changes WHERE status IN ('added', 'changed') UNION ALL
+SELECT DISTINCT f.file_id, 'kept' FROM files_now f JOIN documents x ON x.kind = 'card' AND lower(trim(x.source)) = lower(f.repo) AND {tx.normal_path('x.path', D)} = f.path WHERE f.file_id NOT IN (SELECT file_id FROM changes WHERE status IS NOT NULL)""",
+    "card_merge": corpus.SQL["chunk_cuts"].replace("SELECT file_id, part, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM cuts", """SELECT file_id, 'p0' AS purpose, string_agg(concat('lines ', a, ' to ', b), ' ' ORDER BY part) AS summary,
+  string_agg(concat('f', part), ' ' ORDER BY part) AS facts FROM cuts GROUP BY file_id"""),
+    "memoised_answers": v.with_(v.F_SQL) + """SELECT key, CASE WHEN repo < 'm' THEN 'known' ELSE concat('stub ', substr(sha256(prompt), 1, 12)) END AS answer FROM (
+  SELECT DISTINCT concat_ws('/', repo, module) AS key, repo, concat('Describe ', module) AS prompt FROM files_now WHERE module IS NOT NULL AND repo IS NOT NULL)""",
+    "proxy_judge": f"SELECT qid, cid AS id, round(1 - 0.01::DOUBLE * (pos - 1), 6) AS p FROM ({retrieval.SQL['candidates']}) WHERE pos <= 10",
+    "session_keys": "SELECT doc_id, CASE WHEN k = '' THEN 'default' ELSE k END AS key FROM (SELECT doc_id, substr(regexp_replace(coalesce(source, ''), '[^\\p{L}\\p{N}_-]', '', 'g'), 1, 80) AS k FROM documents)",
     "import_rules": v.with_(_TREE_SQL, _TREE_NOW, *graph.EDGES_SQL[1:]) + "SELECT a.lang, a.path AS src, b.path AS dst FROM edges e JOIN files a ON a.file_id = e.src JOIN files b ON b.file_id = e.dst",
     "unknown_extension_rules": v.with_(_TREE_SQL) + f"""SELECT ext, count(*) AS n FROM (SELECT {tx.extension(tx.basename('path', D), D)} AS ext FROM files WHERE {rules.language_sql('path', D)} = '') WHERE ext <> '' GROUP BY ext ORDER BY n DESC, ext LIMIT 5""",
     "nested_members": v.with_(_NESTED_SQL) + """SELECT s.file_id, s.i, concat(string_agg(c.name, '.' ORDER BY c.a DESC), '.', any_value(s.name)) AS qualified FROM nested s JOIN nested c ON c.file_id = s.file_id AND c.kind IN ('class', 'impl', 'type', 'module') AND c.a < s.a AND s.b <= c.b

@@ -14,7 +14,6 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from pyspark.sql.window import Window
 _LOCAL_DIRS: list[str] = []
 _WRITTEN: list[str] = []
 _MOUNTED: list[str] = []
-_CACHED: list[str] = []
+_TABLES: dict[str, tuple[str, T.StructType]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -92,35 +91,26 @@ def input_stamp(spark: SparkSession, paths: list[str]) -> str:
     return seen.hexdigest()[:24]
 
 
-@lru_cache(maxsize=1)
-def code_stamp() -> str:
-    """A hash of the operators and functions of this package: derived tables written by other code aren't read."""
-    root, seen = os.path.dirname(os.path.abspath(__file__)), hashlib.sha256()
-    for part in ("operators", "functions"):
-        for name in sorted(x for x in os.listdir(f"{root}/{part}") if x.endswith(".py")):
-            with open(f"{root}/{part}/{name}", "rb") as f:
-                seen.update(f.read())
-    return seen.hexdigest()[:24]
-
-
 def cached(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """The derived table ``name`` of ``inputs``, written once into the shared folder under a stamp of the inputs and read from there afterwards.
+    """The derived table ``name`` of ``inputs``, written once by this process under a stamp of the inputs, and read from there by all later queries.
 
-    A table counts as written only with the mark that Spark's committer leaves last, so a crash leaves nothing that would be read. Where an input or the code
-    changes the stamp does too, and the table is built again in place of the former one; later processes find it in a shared folder that stays.
+    Where an input is written again the stamp changes and the table is built anew, as it is where someone has deleted it. Tables belong to the process that wrote them, so processes that share a folder never
+    meet in one; they go when it ends, or by :func:`forget`.
     """
-    stamp = hashlib.sha256(f"{code_stamp()} {input_stamp(spark, inputs)}".encode()).hexdigest()[:24]
-    home = f"{shared_dir(spark)}/mosaiq-{name}-{hashlib.sha256(' '.join(inputs).encode()).hexdigest()[:16]}"
-    path = f"{home}/{stamp}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop(f"{path}/_SUCCESS")):
-        build().write.mode("overwrite").parquet(path)
-        _CACHED.append(path)
-        for other in fs.listStatus(hadoop(home)):
-            if other.getPath().getName() != stamp:
-                fs.delete(other.getPath(), True)
-    return spark.read.parquet(path)
+    key = f"{shared_dir(spark)} {name} {input_stamp(spark, inputs)}"
+    if key not in _TABLES or not _exists(spark, f"{_TABLES[key][0]}/_SUCCESS"):
+        df = build()
+        path = f"{shared_dir(spark)}/mosaiq-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _note(spark, path)
+        _TABLES[key] = (path, df.schema)
+    path, schema = _TABLES[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
 def is_mounted(spark: SparkSession, path: str) -> bool:
@@ -137,11 +127,15 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mosaiq-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _note(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _note(spark: SparkSession, path: str) -> None:
     if is_mounted(spark, path):
         written(path)
     else:
         _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def written(path: str) -> None:
@@ -161,8 +155,7 @@ def _sweep(process: int) -> None:
 def forget(spark: SparkSession) -> int:
     """Delete the intermediate tables of this process from the shared folder; DataFrames built on them can't be read any more. The number of tables."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    _WRITTEN.extend(_CACHED)
-    _CACHED.clear()
+    _TABLES.clear()
     _MOUNTED.clear()
     count = len(_WRITTEN)
     while _WRITTEN:
