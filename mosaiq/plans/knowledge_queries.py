@@ -62,7 +62,7 @@ def core_sections(spark: SparkSession, d: str) -> DataFrame:
 
 def valid_qa(spark: SparkSession, d: str) -> DataFrame:
     """The pairs that have both a question and an answer."""
-    return v.qa(spark, d).where("trim(q) <> '' AND trim(a) <> ''").select("qa_id")
+    return v.stored_qa(spark, d).where("trim(q) <> '' AND trim(a) <> ''").select("qa_id")
 
 
 def core_refresh(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ def search_min_score(spark: SparkSession, d: str) -> DataFrame:
 
 def search_unsent(spark: SparkSession, d: str) -> DataFrame:
     """(qid, uid, n): the ten best hits of each stated question that no earlier question on its repository had among its three best; a repository is a session here."""
-    asked = v.qa(spark, d).where("qa_id % 100 = 0 AND repo IS NOT NULL").select(F.col("qa_id").alias("qid"), F.col("repo").alias("session"))
+    asked = v.stored_qa(spark, d).where("qa_id % 100 = 0 AND repo IS NOT NULL").select(F.col("qa_id").alias("qid"), F.col("repo").alias("session"))
     hits = materialise(search.search(v.index(spark, d), v.questions(spark, d), 30).join(asked, "qid"))
     first = hits.where("rank <= 3").groupBy("session", "uid").agg(F.min("qid").alias("first"))
     sent = hits.join(first, ["session", "uid"]).where("first < qid").select("qid", "uid")
@@ -135,7 +135,7 @@ def search_unsent(spark: SparkSession, d: str) -> DataFrame:
 def pack_selected(spark: SparkSession, d: str) -> DataFrame:
     """The first candidates of each stated question, as a reader would choose them, within 120 tokens."""
     ids = retrieval.candidates(spark, d).where("pos <= 12").select("qid", F.col("pos").alias("ord"), F.col("cid").alias("uid"))
-    return packs.selected(ids, v.stored_symbols(spark, d), v.qa(spark, d), v.stored_files(spark, d), 120).select("qid", "ord", "key", "tokens")
+    return packs.selected(ids, v.stored_symbols(spark, d), v.stored_qa(spark, d), v.stored_files(spark, d), 120).select("qid", "ord", "key", "tokens")
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +149,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 def pack_recall(spark: SparkSession, d: str) -> DataFrame:
     """(key, kind, wanted, found, recall): of the files and names each stated question's answer mentions, the share that its full pack shows."""
     asked = v.questions(spark, d).select(F.col("qid").alias("key"))
-    told = v.qa(spark, d).where("repo IS NOT NULL").select(F.col("qa_id").alias("key"), "repo", F.col("a").alias("text")).join(asked, "key", "left_semi")
+    told = v.stored_qa(spark, d).where("repo IS NOT NULL").select(F.col("qa_id").alias("key"), "repo", F.col("a").alias("text")).join(asked, "key", "left_semi")
     files = evaluate.mentioned_files(told, v.stored_files(spark, d)).select("key", F.lit("file").alias("kind"), F.col("path").alias("item"))
     names = evaluate.mentioned_names(told, v.stored_symbols(spark, d)).select("key", F.lit("name").alias("kind"), F.col("part").alias("item"))
     return evaluate.pack_recall(files.unionByName(names), retrieval.full_pack(spark, d).select(F.col("qid").alias("key"), "text"))
@@ -207,14 +207,14 @@ def index_all_units(spark: SparkSession, d: str) -> DataFrame:
     cards = sentences.groupBy("repo", "path").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(doc_id, pos, sentence))), x -> x.sentence)"), " ").alias("text"))
     cards = files.where("path IS NOT NULL").select(F.concat(F.lit("file:"), "file_id").alias("uid"), F.lower("repo").alias("repo"), "path").join(cards, ["repo", "path"]).select("uid", "text")
     notes = kn.symbol_notes(sentences, symbols).select(F.concat(F.lit("sym:"), "file_id", F.lit(":"), "i").alias("uid"), F.col("note").alias("text"))
-    units = search.units(files, symbols, v.qa(spark, d)).unionByName(search.flow_units(kn.flow_steps(docs)))
+    units = search.units(files, symbols, v.stored_qa(spark, d)).unionByName(search.flow_units(kn.flow_steps(docs)))
     rows = search.postings(search.with_texts(units, cards.unionByName(notes))).groupBy("utype", "uid").agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("terms"))
     return rows.groupBy("utype").agg(F.count(F.lit(1)).alias("units"), F.sum("len").alias("len"), F.sum("terms").alias("postings"))
 
 
 def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
     """(want, n, file_id, i, exact, note): the first ten symbols of every name that answers cite, full matches first, with the note a card has on them. Registrations match by any word of theirs."""
-    refs = v.qa(spark, d).select(F.explode("refs").alias("ref")).where("ref LIKE '%::%'").select(F.regexp_extract("ref", r"::(.+)$", 1).alias("name")).distinct()
+    refs = v.stored_qa(spark, d).select(F.explode("refs").alias("ref")).where("ref LIKE '%::%'").select(F.regexp_extract("ref", r"::(.+)$", 1).alias("name")).distinct()
     symbols = v.stored_symbols(spark, d)
     words = F.explode(F.expr(r"array_distinct(regexp_extract_all(name, r'\w+', 0))"))
     registered = symbols.where("kind = 'registration'").select("file_id", "i", "path", "start_line", "end_line", "kind", words.alias("name"))

@@ -41,11 +41,11 @@ def bm25_typed_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_score_blend(spark: SparkSession, d: str) -> DataFrame:
-    return packs.file_scores(_hits(spark, d, 60), v.stored_symbols(spark, d), v.qa(spark, d), v.stored_files(spark, d))
+    return packs.file_scores(_hits(spark, d, 60), v.stored_symbols(spark, d), v.stored_qa(spark, d), v.stored_files(spark, d))
 
 
 def symbol_score_blend(spark: SparkSession, d: str) -> DataFrame:
-    return packs.symbol_scores(_hits(spark, d), v.stored_symbols(spark, d), v.qa(spark, d)).select("qid", "file_id", "i", "score")
+    return packs.symbol_scores(_hits(spark, d), v.stored_symbols(spark, d), v.stored_qa(spark, d)).select("qid", "file_id", "i", "score")
 
 
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -56,28 +56,28 @@ def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_nms(spark: SparkSession, d: str) -> DataFrame:
-    return packs.seeds(packs.symbol_scores(_hits(spark, d), v.stored_symbols(spark, d), v.qa(spark, d)), 4)
+    return packs.seeds(packs.symbol_scores(_hits(spark, d), v.stored_symbols(spark, d), v.stored_qa(spark, d)), 4)
 
 
 def link_score_expand(spark: SparkSession, d: str) -> DataFrame:
     symbols = v.stored_symbols(spark, d)
-    seeds = packs.seeds(packs.symbol_scores(_hits(spark, d), symbols, v.qa(spark, d)), 4)
+    seeds = packs.seeds(packs.symbol_scores(_hits(spark, d), symbols, v.stored_qa(spark, d)), 4)
     return packs.linked(materialise(seeds), v.link_graph(spark, d), symbols, v.questions(spark, d), 12)
 
 
 def link_pack(spark: SparkSession, d: str) -> DataFrame:
     files, symbols = v.stored_files(spark, d), v.stored_symbols(spark, d)
-    return packs.link_pack(_hits(spark, d), v.questions(spark, d), symbols, v.qa(spark, d), files, v.link_graph(spark, d), links.definitions(symbols))
+    return packs.link_pack(_hits(spark, d), v.questions(spark, d), symbols, v.stored_qa(spark, d), files, v.link_graph(spark, d), links.definitions(symbols))
 
 
 def pointer_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packs.pointer_pack(_hits(spark, d, 80), v.stored_symbols(spark, d), v.qa(spark, d), v.stored_files(spark, d))
+    return packs.pointer_pack(_hits(spark, d, 80), v.stored_symbols(spark, d), v.stored_qa(spark, d), v.stored_files(spark, d))
 
 
 def full_pack(spark: SparkSession, d: str) -> DataFrame:
     """(qid, ord, key, tokens, text): answers, files with their symbols and a module within 2000 tokens, and excerpts of source within 1800."""
     files, symbols = v.stored_files(spark, d), v.stored_symbols(spark, d)
-    return packs.full_pack(_hits(spark, d, 60), v.questions(spark, d), symbols, v.qa(spark, d), files)
+    return packs.full_pack(_hits(spark, d, 60), v.questions(spark, d), symbols, v.stored_qa(spark, d), files)
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ def judge_select(spark: SparkSession, d: str) -> DataFrame:
 
 def symbol_where(spark: SparkSession, d: str) -> DataFrame:
     """(want, file_id, i, kind, exact): the symbols of every wanted name, by full name or last part; wanted are the names that answers' references cite."""
-    refs = v.qa(spark, d).select(F.explode("refs").alias("ref")).where("ref LIKE '%::%'").select(F.regexp_extract("ref", r"::(.+)$", 1).alias("want")).distinct()
+    refs = v.stored_qa(spark, d).select(F.explode("refs").alias("ref")).where("ref LIKE '%::%'").select(F.regexp_extract("ref", r"::(.+)$", 1).alias("want")).distinct()
     refs = refs.withColumn("last", F.expr(tx.last_part("want")))
     s = v.stored_symbols(spark, d).where("name IS NOT NULL").select("file_id", "i", "name", "kind", F.expr(tx.last_part("name")).alias("last"))
     return refs.join(s, "last").select("want", "file_id", "i", "kind", (F.col("name") == F.col("want")).alias("exact"))
@@ -124,13 +124,13 @@ def file_card(spark: SparkSession, d: str) -> DataFrame:
 
 def module_card(spark: SparkSession, d: str) -> DataFrame:
     f = v.stored_files(spark, d).where("module IS NOT NULL")
-    q = v.qa(spark, d).where("module IS NOT NULL").groupBy("repo", "module").agg(F.count(F.lit(1)).alias("answers"))
+    q = v.stored_qa(spark, d).where("module IS NOT NULL").groupBy("repo", "module").agg(F.count(F.lit(1)).alias("answers"))
     rows = f.groupBy("repo", "module").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.count_if("is_test").alias("tests"), F.min("path").alias("first_path"))
     return rows.join(q, ["repo", "module"], "left").withColumn("answers", F.coalesce("answers", F.lit(0)))
 
 
 def reference_verify(spark: SparkSession, d: str) -> DataFrame:
-    refs = v.qa(spark, d).select("qa_id", "repo", F.posexplode("refs").alias("pos", "ref")).where("ref IS NOT NULL")
+    refs = v.stored_qa(spark, d).select("qa_id", "repo", F.posexplode("refs").alias("pos", "ref")).where("ref IS NOT NULL")
     return verify.resolve(refs, v.stored_symbols(spark, d), v.stored_files(spark, d)).select("qa_id", "pos", "ref", "resolved")
 
 

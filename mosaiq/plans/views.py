@@ -23,7 +23,7 @@ def qa(spark: SparkSession, d: str) -> DataFrame:
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """(qid, text): the stated query set, every question whose id is divisible by 100."""
-    return qa(spark, d).where("qa_id % 100 = 0").select(F.col("qa_id").alias("qid"), F.col("q").alias("text"))
+    return stored_qa(spark, d).where("qa_id % 100 = 0").select(F.col("qa_id").alias("qid"), F.col("q").alias("text"))
 
 
 def _inputs(d: str, *names: str) -> list[str]:
@@ -41,6 +41,12 @@ def stored_symbols(spark: SparkSession, d: str) -> DataFrame:
     return cached(spark, "symbols", _inputs(d, "symbols"), lambda: symbols(spark, d))
 
 
+def stored_qa(spark: SparkSession, d: str) -> DataFrame:
+    """The current questions and answers, written once."""
+    table(spark, d, "qa")
+    return cached(spark, "qa", _inputs(d, "qa"), lambda: qa(spark, d))
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """The import edges, written once."""
     return cached(spark, "edges", _inputs(d, "files"), lambda: imports.import_edges(stored_files(spark, d)))
@@ -54,7 +60,7 @@ def link_graph(spark: SparkSession, d: str) -> DataFrame:
 def index(spark: SparkSession, d: str) -> search.Index:
     """The index over files, symbols, modules and answers, written once."""
     of = _inputs(d, "files", "symbols", "qa")
-    units = lambda: search.units(stored_files(spark, d), stored_symbols(spark, d), qa(spark, d))
+    units = lambda: search.units(stored_files(spark, d), stored_symbols(spark, d), stored_qa(spark, d))
     postings = cached(spark, "postings", of, lambda: search.indexed(materialise(search.postings(units()))))
     return search.Index(postings, cached(spark, "statistics", of, lambda: search.statistics(postings)))
 
