@@ -7,6 +7,7 @@ from mosaiq.plans import views
 
 QUERIES = (
     "candidates",
+    "link_pack",
 )
 
 
