@@ -8,6 +8,7 @@ from mosaiq.plans import views
 QUERIES = (
     "candidates",
     "link_pack",
+    "pack_selected",
 )
 
 
