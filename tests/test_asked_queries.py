@@ -9,6 +9,7 @@ QUERIES = (
     "candidates",
     "link_pack",
     "pack_selected",
+    "search_unsent",
 )
 
 
