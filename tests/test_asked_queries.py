@@ -10,6 +10,7 @@ QUERIES = (
     "link_pack",
     "pack_selected",
     "search_unsent",
+    "answers",
 )
 
 
