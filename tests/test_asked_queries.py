@@ -11,6 +11,7 @@ QUERIES = (
     "pack_selected",
     "search_unsent",
     "answers",
+    "file_score_blend",
 )
 
 
