@@ -12,6 +12,7 @@ QUERIES = (
     "search_unsent",
     "answers",
     "file_score_blend",
+    "judge_select",
 )
 
 
