@@ -13,6 +13,7 @@ QUERIES = (
     "answers",
     "file_score_blend",
     "judge_select",
+    "link_score_expand",
 )
 
 
