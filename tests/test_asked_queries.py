@@ -14,6 +14,7 @@ QUERIES = (
     "file_score_blend",
     "judge_select",
     "link_score_expand",
+    "proxy_judge",
 )
 
 
