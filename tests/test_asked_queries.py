@@ -15,6 +15,7 @@ QUERIES = (
     "judge_select",
     "link_score_expand",
     "proxy_judge",
+    "seed_nms",
 )
 
 
