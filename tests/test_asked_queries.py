@@ -16,6 +16,7 @@ QUERIES = (
     "link_score_expand",
     "proxy_judge",
     "seed_nms",
+    "bm25_typed_search",
 )
 
 
