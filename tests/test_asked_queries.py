@@ -17,6 +17,7 @@ QUERIES = (
     "proxy_judge",
     "seed_nms",
     "bm25_typed_search",
+    "fact_overlap",
 )
 
 
