@@ -18,6 +18,7 @@ QUERIES = (
     "seed_nms",
     "bm25_typed_search",
     "fact_overlap",
+    "full_pack",
 )
 
 
