@@ -19,6 +19,7 @@ QUERIES = (
     "bm25_typed_search",
     "fact_overlap",
     "full_pack",
+    "pack_recall",
 )
 
 
