@@ -20,6 +20,7 @@ QUERIES = (
     "fact_overlap",
     "full_pack",
     "pack_recall",
+    "pointer_pack",
 )
 
 
