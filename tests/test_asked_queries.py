@@ -22,6 +22,7 @@ QUERIES = (
     "pack_recall",
     "pointer_pack",
     "retrieval_recall",
+    "search_min_score",
 )
 
 
