@@ -23,6 +23,7 @@ QUERIES = (
     "pointer_pack",
     "retrieval_recall",
     "search_min_score",
+    "symbol_score_blend",
 )
 
 
