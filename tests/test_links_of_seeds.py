@@ -9,7 +9,7 @@ from mosaiq.plans import views
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["link_pack", "link_score_expand"])
+@pytest.mark.parametrize("name", ["link_pack", "link_score_expand", "answers"])
 def test_it_needs_no_graph_of_all_symbols(spark, monkeypatch, name):
     def whole(*_):
         raise AssertionError("all links were built")
