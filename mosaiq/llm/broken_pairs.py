@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +61,8 @@ MARK = re.compile(
     r"(?P<break>\n)|(?P<ticks>`+)|(?P<tag></?(?P<name>[a-z][a-z0-9]*)(?:\s[^<>\n]*)?/?>)|(?P<strong>\*\*)|(?P<open>[(\[{“«„])|(?P<close>[)\]}”»])|(?P<quote>\")"
     r"|(?P<end>[.!?。！？…]+)|(?P<clause>[,;:–—-])|(?P<word>[^\W_][\w ]*)"
 )
+NUMBERED = re.compile(r"(?:^|\n)\W*\d{1,3}$")
+BARE_ITEM = re.compile(r"(?:[-*+•]|\d{1,3}[.)])$")
 SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'*_)]*\s+|\n+")
 
 
@@ -80,7 +84,7 @@ class Pushdown:
         self.items = self.ended = 0
         at = self._line(text, 0)
         while m := MARK.search(text, at):
-            at = getattr(self, f"_{m.lastgroup if m.lastgroup != 'name' else 'tag'}")(m, text)
+            at = _READ[m.lastgroup](self, m, text)
         if "fence" in self.stack:
             self.stack = ["fence"]
 
@@ -187,7 +191,8 @@ class Pushdown:
 
     def _end(self, m: re.Match[str], text: str) -> int:
         after = text[m.end() : m.end() + 1]
-        numbered = m.group() == "." and re.search(r"(?:^|\n)\W*\d{1,3}$", text[max(0, m.start() - 12) : m.start()])
+        before = text[m.start() - 1 : m.start()]
+        numbered = (before == "\n" or before.isdecimal()) and m.group() == "." and NUMBERED.search(text[max(0, m.start() - 12) : m.start()])
         if (not after or not after.isalnum() and after not in "_/(") and not numbered:
             self.clause = False
             self.trail = m.group() in ("...", "…") and bool(self.words)
@@ -213,6 +218,10 @@ class Pushdown:
         return m.end()
 
 
+#: What reads each mark.
+_READ = {k: getattr(Pushdown, f"_{k}") for k in MARK.groupindex if k != "name"} | {"name": Pushdown._tag}
+
+
 def truncated(answer: str) -> bool:
     """Whether ``answer`` ends before it is complete: with something open on the stack of the parser, or with a mark that promises more.
 
@@ -227,7 +236,7 @@ def truncated(answer: str) -> bool:
     if state.clause or state.trail:
         return True
     if "sentence" not in state.stack:
-        return "item" in state.stack and bool(re.search(r"(?:[-*+•]|\d{1,3}[.)])$", answer.rstrip())) and state.lines > 1
+        return "item" in state.stack and bool(BARE_ITEM.search(answer.rstrip())) and state.lines > 1
     last = answer.rstrip()
     if "item" in state.stack or state.pointer:
         return not last.endswith("`") and not (state.items > 1 and not state.ended)
@@ -269,18 +278,26 @@ ANSWERING = frozenset("yes no not never none because ja nein nicht kein weil oui
 RUN_WEIGHTS, COPIED_SHARE, GIVEN_BACK = (0.0, 0.6, 0.8, 1.0), 0.75, 0.7
 
 
+@lru_cache(maxsize=4096)
+def _question_words(question: str) -> tuple[list[str], frozenset[str]]:
+    """The words of a question, which often has several answers, and the distinct ones."""
+    words = WORD.findall(question.lower())
+    return words, frozenset(words)
+
+
 def copied(question: str, answer: str) -> bool:
     """Whether tiles of ``question`` cover ``answer``: it only gives the question back, perhaps turned around, repeated, framed or with a word changed.
 
     Words in longer common runs count more; uncovered words that only frame a question don't count. An answer that adds a word which answers by itself is none.
     """
-    q, a = WORD.findall(question.lower()), WORD.findall(answer.lower())
+    q, own = _question_words(question)
+    a = WORD.findall(answer.lower())
     if not q or not a:
         return False
-    own = set(q)
-    known = sum(w in own for w in a)
+    new = [w for w in a if w not in own]
+    known = len(a) - len(new)
     # every known word lies in a tile, if only of itself: where these are too few, no tiling covers enough
-    if known < COPIED_SHARE * (known + sum(w not in own and w not in FRAME for w in a)):
+    if known < COPIED_SHARE * (known + len([w for w in new if w not in FRAME])):
         return False
     size = tiles(q, a)
     if any(not n and w in ANSWERING for w, n in zip(a, size)):
@@ -316,6 +333,11 @@ for _class, _words in REFUSAL_CLASSES.items():
         _WORDS_OF[_w] = _WORDS_OF.get(_w, "") + _class
 _STEMS = tuple((w[:-1], c) for w, c in _WORDS_OF.items() if w.endswith("*"))
 _PRODUCTION = re.compile("|".join("(?:" + "".join(f"(?:<[^>]*{c}[^>]*>)" if c.isalpha() else "(?:<[^>]*>){0,6}?" if c == "*" else "<[^>]*>" if c == "." else c for c in p) + ")" for p in REFUSAL_PRODUCTIONS))
+CLAUSES = re.compile("[,;:—–]")
+FENCED = re.compile(r"```.*?(?:```|$)", re.S)
+LEAD = re.compile(r"^(?:note|regarding [^:]*|about [^:]*|answer|a)\s*:\s*")
+#: Code, paths and quotations in a sentence. Paths are looked for only where there is a slash, as each word is read again from each of its letters.
+QUOTED, QUOTED_PATH = re.compile("`[^`]*`|\"[^\"]*\"|“[^”]*”|«[^»]*»"), re.compile(r"`[^`]*`|\S*/[^\s,;]*|\"[^\"]*\"|“[^”]*”|«[^»]*»")
 SPOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: Openings of courtesies around a refusal.
 COURTESY = re.compile(
@@ -335,18 +357,32 @@ def _class_of(word: str) -> str:
 
 def refuses(sentence: str) -> bool:
     """Whether a clause of a sentence (lower case, without code and quotations) is derived from a production of refusals."""
-    return any(_PRODUCTION.search("".join(map(_class_of, SPOKEN.findall(clause)))) for clause in re.split("[,;:—–]", sentence))
+    for clause in CLAUSES.split(sentence):
+        symbols = [_class_of(w) for w in SPOKEN.findall(clause)]
+        # each production has two classes at least
+        if len(symbols) - symbols.count("<>") > 1 and _PRODUCTION.search("".join(symbols)):
+            return True
+    return False
+
+
+def _sentences(text: str) -> Iterator[str]:
+    """The sentences of a text one by one, as most answers are told by the first."""
+    at = 0
+    for m in SENTENCE.finditer(text):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
 
 
 def refused(answer: str) -> bool:
     """Whether ``answer`` declines and says nothing of substance: every sentence refuses or is a courtesy, at least one refuses."""
-    text = re.sub(r"```.*?(?:```|$)", " §code§ ", answer, flags=re.S)
+    text = FENCED.sub(" §code§ ", answer) if "```" in answer else answer
     text = text.replace("’", "'").replace("**", "").lower()
     refusals = 0
-    for sentence in SENTENCE.split(text):
+    for sentence in _sentences(text):
         s = sentence.strip(" \t\"'*_-#>")
-        s = re.sub(r"^(?:note|regarding [^:]*|about [^:]*|answer|a)\s*:\s*", "", s)
-        bare = re.sub(r"`[^`]*`|\S*/[^\s,;]*|\"[^\"]*\"|“[^”]*”|«[^»]*»", " xx ", s)
+        s = LEAD.sub("", s) if ":" in s else s
+        bare = (QUOTED_PATH if "/" in s else QUOTED).sub(" xx ", s)
         if not WORD.search(s):
             continue
         if refuses(bare):
@@ -386,15 +422,30 @@ def empty(answer: str | None) -> bool:
     return (word in _PLACE_OF or word == "n" or word.startswith("xxx")) and placeholder(WORD.findall(answer.lower()))  # no production begins with another word
 
 
+CODE_SPAN = re.compile(r"`[^`\n]*`?")
 NAMES = re.compile(r"\b\w+\.\w+(?:\(\))?|\b[a-z]+[A-Z]\w*|\b(?:[A-Z][a-z]+){2,}\b")
 
 
+def _pieces(text: str) -> list[str]:
+    """What stands between blanks in ``text`` without fences and code spans."""
+    if "`" in text:
+        text = CODE_SPAN.sub(" ", FENCED.sub(" ", text))
+    return text.split()
+
+
+@lru_cache(maxsize=65536)
+def _piece_prose(piece: str) -> str:
+    return "" if "/" in piece or "_" in piece or "\\" in piece else NAMES.sub(" ", piece)
+
+
+@lru_cache(maxsize=65536)
+def _piece_words(piece: str) -> tuple[str, ...]:
+    return tuple(LETTERS.findall(_piece_prose(piece).lower()))
+
+
 def prose(text: str) -> str:
-    """``text`` without code: fences, code spans, paths and identifiers."""
-    text = re.sub(r"```.*?(?:```|$)", " ", text, flags=re.S)
-    text = re.sub(r"`[^`\n]*`?", " ", text)
-    text = " ".join([w for w in text.split() if "/" not in w and "_" not in w and "\\" not in w])
-    return NAMES.sub(" ", text)
+    """``text`` without code: fences, code spans, paths and identifiers. None of these has a blank, so each piece is looked at by itself, and often remembered."""
+    return " ".join(filter(None, map(_piece_prose, _pieces(text))))
 
 
 @lru_cache(maxsize=65536)
@@ -408,25 +459,26 @@ def _scripts(letters: str) -> dict[str, int]:
     if letters.isascii():
         return {"LATIN": len(letters)}
     out: dict[str, int] = {}
-    for c in letters:
-        out[_script(c)] = out.get(_script(c), 0) + 1
+    for c, n in Counter(letters).items():
+        out[_script(c)] = out.get(_script(c), 0) + n
     return out
 
 
 def language(text: str) -> tuple[str, float, dict[str, float]]:
     """(language or script or "", its share, shares of all languages) of the prose of ``text``."""
-    words = LETTERS.findall(prose(text).lower())
-    n = sum(map(len, words))
+    words = list(chain.from_iterable(map(_piece_words, _pieces(text))))
+    letters = "".join(words)
+    n = len(letters)
     if not n:
         return "", 0.0, {}
-    scripts = _scripts("".join(words))
+    scripts = _scripts(letters)
     script = max(scripts, key=scripts.get)
     if script != "LATIN" and scripts[script] > 0.4 * n:
         return ("KANA" if scripts.get("KANA", 0) > 0.1 * n else script), scripts[script] / n, {}
     counts = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in words:
-        for k in LANGUAGES_OF.get(w, ()):
-            counts[k] += 1
+    for of, times in Counter(map(LANGUAGES_OF.get, words)).items():
+        for k in of or ():
+            counts[k] += times
     shares = {k: n / len(words) for k, n in counts.items()}
     best = max(shares, key=shares.get)
     return (best if shares[best] * len(words) >= 2 and shares[best] >= 0.1 else ""), shares[best], shares
